@@ -1,0 +1,27 @@
+"""The corpus pipeline: stages that each take the documents which their predecessor kept."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tessera.llm import mixing, quality, sharding
+from tessera.llm.common import documents, stage
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.accepted(docs)
+
+
+STAGES = [("quality rules", quality_rules)]
+
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over the documents of ``sf_dir``; each result is written to the shared folder and read again."""
+    docs = documents(spark, sf_dir)
+    for number, (_, function) in enumerate(STAGES):
+        docs = function(spark, docs, sf_dir)
+        if number < len(STAGES) - 1:
+            docs = stage(docs, f"pipeline-{number}")
+    return docs
