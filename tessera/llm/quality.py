@@ -1,6 +1,6 @@
 """Quality rules by tokeniser fertility.
 
-Each word is segmented by a public vocabulary with byte fallback, a leading space mark included.
+Each text, its white space made single spaces, is segmented by a public vocabulary with byte fallback.
 Three figures follow for a text: characters per token, the share of byte-fallback tokens, and the
 entropy of its token distribution relative to what its length allows. A text outside the band of
 its language (or, for an unlisted language, of its main script) is rejected. The bands are fixed
@@ -13,7 +13,7 @@ equal verdicts; extra columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +24,8 @@ from tessera.llm.common import ship, small_batches
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
-#: Words up to this length are remembered with their tokens, up to so many words per worker.
-CACHED_BYTES, CACHED_WORDS = 40, 200_000
+#: Longer texts are segmented in pieces of about this size.
+PIECE_BYTES = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -51,29 +51,26 @@ BANDS = {
 }
 
 
-@dataclass
 class Segmenter:
-    """Tokens of words, remembered; loaded once per worker process."""
+    """Tokens of texts; loaded once per task."""
 
-    model: bytes
-    cache: dict = field(default_factory=dict)
-
-    def __post_init__(self) -> None:
+    def __init__(self, model: bytes) -> None:
         import sentencepiece
 
-        self.sp = sentencepiece.SentencePieceProcessor(model_proto=self.model)
+        self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.fallback = np.array([self.sp.is_byte(i) or self.sp.is_unknown(i) for i in range(self.sp.get_piece_size())])
 
-    def tokens(self, words: list[bytes]) -> list[np.ndarray]:
-        missing = [w for w in words if w not in self.cache]
-        own = {}
-        if missing:
-            for w, ids in zip(missing, self.sp.encode([w.decode("utf-8", "replace") for w in missing], num_threads=1), strict=True):
-                own[w] = np.array(ids, dtype=np.int32)
-            if len(self.cache) + len(own) > CACHED_WORDS:
-                self.cache = {w: self.cache[w] for w in words if w in self.cache}
-            self.cache.update((w, t) for w, t in own.items() if len(w) <= CACHED_BYTES)
-        return [own[w] if w in own else self.cache[w] for w in words]
+    def tokens(self, words: list[bytes]) -> np.ndarray:
+        """Tokens of the words joined by single spaces. Tokens never cross a space, so long texts go in pieces."""
+        pieces, at, size = [], 0, 0
+        for i, w in enumerate(words if sum(map(len, words)) > PIECE_BYTES else ()):
+            size += len(w) + 1
+            if size > PIECE_BYTES:
+                pieces.append(words[at : i + 1])
+                at, size = i + 1, 0
+        pieces.append(words[at:])
+        texts = [b" ".join(x).decode("utf-8", "replace") for x in pieces]
+        return np.concatenate([np.array(x, dtype=np.int64) for x in self.sp.encode(texts, num_threads=1)])
 
 
 def script_of(text: str) -> str:
@@ -101,9 +98,12 @@ def measure(text: str | None, lang: str | None, segmenter: Segmenter, bands: dic
     ids = np.array([numbers.setdefault(w, len(numbers)) for w in words], dtype=np.int64)
     n_repeat = 0
     if n >= 4:
-        # two steps of pairing keep codes below the number of words, so they can't overflow
-        pairs = np.unique(ids[:-1] * len(numbers) + ids[1:], return_inverse=True)[1]
-        _, code, count = np.unique(pairs[:-1] * np.int64(n) + ids[2:], return_inverse=True, return_counts=True)
+        if len(numbers) < 1 << 21:
+            codes = ids[:-2] << 42 | ids[1:-1] << 21 | ids[2:]
+        else:  # pairs are numbered first, so that codes can't overflow
+            pairs = np.unique(ids[:-1] * len(numbers) + ids[1:], return_inverse=True)[1]
+            codes = pairs[:-1] * np.int64(n) + ids[2:]
+        _, code, count = np.unique(codes, return_inverse=True, return_counts=True)
         hit = np.zeros(n, dtype=bool)
         at = np.flatnonzero(count[code] > 1)
         hit[at] = hit[at + 1] = hit[at + 2] = True
@@ -111,19 +111,16 @@ def measure(text: str | None, lang: str | None, segmenter: Segmenter, bands: dic
     base_failed = n < MIN_WORDS or 100 * n_repeat > 50 * n
     if not n:
         return 0, word_chars, n_symbols, n_dup_lines, 0, True, None, None, None, False
-    per_word = segmenter.tokens(list(numbers))
-    lengths = np.array([len(t) for t in per_word])
-    tokens = np.concatenate(per_word)
-    weights = np.repeat(np.bincount(ids, minlength=len(numbers)), lengths)
-    total = int(weights.sum())
+    tokens = segmenter.tokens(words)
+    total = len(tokens)
     if not total:
         return n, word_chars, n_symbols, n_dup_lines, n_repeat, base_failed, None, None, None, False
-    kinds, inverse = np.unique(tokens, return_inverse=True)
-    share = np.bincount(inverse, weights=weights) / total
+    counts = np.bincount(tokens)
+    share = counts[counts > 0] / total
     entropy = float(-(share * np.log2(share)).sum())
     # a text of so many tokens can't have more entropy than the log of their number
     relative = entropy / max(1.0, np.log2(min(total, 1024)))
-    fallback = float(weights[segmenter.fallback[tokens]].sum() / total)
+    fallback = float(segmenter.fallback[tokens].mean())
     chars = word_chars / total
     band = bands.get(lang or "") or bands[script_of(text)]
     fits = band.least_chars <= chars <= band.most_chars and fallback <= band.most_fallback and relative >= band.least_entropy
@@ -142,7 +139,6 @@ def figures(docs: DataFrame, columns: list[str], vocabulary: str = VOCABULARY, b
     has_lang = "lang" in docs.columns
     types = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns] + [FIGURES])
     kept = list(dict.fromkeys([*columns, "text", *(["lang"] if has_lang else [])]))
-    schema = docs.select(*kept).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter = Segmenter(model)
@@ -153,7 +149,6 @@ def figures(docs: DataFrame, columns: list[str], vocabulary: str = VOCABULARY, b
             kinds = [pa.int64()] * 5 + [pa.bool_()] + [pa.float64()] * 3 + [pa.bool_()]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + [pa.array(x, k) for x, k in zip(cells, kinds, strict=True)], names=[*columns, *names])
 
-    assert schema
     return docs.select(*kept).mapInArrow(run, types)
 
 

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from tessera.llm.mixing import op10_hash_threshold_mix
+from tessera.llm.quality import op9_tokeniser_fertility
+from tessera.llm.secrets import op3_crf_secrets
 from tessera.llm.sharding import op5_best_fit_sharding
 
 QUERIES = {
+    "op3_crf_secrets": op3_crf_secrets,
     "op5_best_fit_sharding": op5_best_fit_sharding,
+    "op9_tokeniser_fertility": op9_tokeniser_fertility,
     "op10_hash_threshold_mix": op10_hash_threshold_mix,
 }
 
