@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.llm.html import op8_consensus_html
 from tessera.llm.mixing import op10_hash_threshold_mix
 from tessera.llm.quality import op9_tokeniser_fertility
 from tessera.llm.secrets import op3_crf_secrets
@@ -10,6 +11,7 @@ from tessera.llm.sharding import op5_best_fit_sharding
 QUERIES = {
     "op3_crf_secrets": op3_crf_secrets,
     "op5_best_fit_sharding": op5_best_fit_sharding,
+    "op8_consensus_html": op8_consensus_html,
     "op9_tokeniser_fertility": op9_tokeniser_fertility,
     "op10_hash_threshold_mix": op10_hash_threshold_mix,
 }
