@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.llm.decontaminate import OP1_SQL, op1_positional_index
 from tessera.llm.html import op8_consensus_html
 from tessera.llm.mixing import op10_hash_threshold_mix
 from tessera.llm.quality import op9_tokeniser_fertility
@@ -9,6 +10,7 @@ from tessera.llm.secrets import op3_crf_secrets
 from tessera.llm.sharding import op5_best_fit_sharding
 
 QUERIES = {
+    "op1_positional_index": op1_positional_index,
     "op3_crf_secrets": op3_crf_secrets,
     "op5_best_fit_sharding": op5_best_fit_sharding,
     "op8_consensus_html": op8_consensus_html,
@@ -16,4 +18,4 @@ QUERIES = {
     "op10_hash_threshold_mix": op10_hash_threshold_mix,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_positional_index": OP1_SQL}
