@@ -8,14 +8,19 @@ from tessera.llm.mixing import op10_hash_threshold_mix
 from tessera.llm.quality import op9_tokeniser_fertility
 from tessera.llm.secrets import op3_crf_secrets
 from tessera.llm.sharding import op5_best_fit_sharding
+from tessera.llm.substring import OP4_SQL, op4_rabin_karp_windows
 
 QUERIES = {
     "op1_positional_index": op1_positional_index,
     "op3_crf_secrets": op3_crf_secrets,
+    "op4_rabin_karp_windows": op4_rabin_karp_windows,
     "op5_best_fit_sharding": op5_best_fit_sharding,
     "op8_consensus_html": op8_consensus_html,
     "op9_tokeniser_fertility": op9_tokeniser_fertility,
     "op10_hash_threshold_mix": op10_hash_threshold_mix,
 }
 
-ORACLES: dict[str, str] = {"op1_positional_index": OP1_SQL}
+ORACLES: dict[str, str] = {
+    "op1_positional_index": OP1_SQL,
+    "op4_rabin_karp_windows": OP4_SQL,
+}
