@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tessera.llm.decontaminate import OP1_SQL, op1_positional_index
 from tessera.llm.html import op8_consensus_html
+from tessera.llm.minhash import op7_chosen_path
 from tessera.llm.mixing import op10_hash_threshold_mix
 from tessera.llm.quality import op9_tokeniser_fertility
 from tessera.llm.secrets import op3_crf_secrets
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_crf_secrets": op3_crf_secrets,
     "op4_rabin_karp_windows": op4_rabin_karp_windows,
     "op5_best_fit_sharding": op5_best_fit_sharding,
+    "op7_chosen_path": op7_chosen_path,
     "op8_consensus_html": op8_consensus_html,
     "op9_tokeniser_fertility": op9_tokeniser_fertility,
     "op10_hash_threshold_mix": op10_hash_threshold_mix,
