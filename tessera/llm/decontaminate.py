@@ -6,8 +6,8 @@ each test window is rarest. Only the postings of those anchors are taken as cand
 moved by the term's offset, and the window's other terms are intersected in order of rarity, so that
 nearly all candidates end at the second one. Only DataFrame functions are used.
 
-Test windows are broadcast in blocks of BLOCK at most, one pass over the index for each block, so
-that no broadcast grows with the benchmark.
+Windows are broadcast in blocks of at most BLOCK anchor terms, one pass over the index for each
+block, so that no broadcast grows with the benchmark.
 
 Cases: null or empty texts have no words and are clean; items without words never match; a null
 item_id counts as the id 'null'; rows with equal id and text get equal results; several rows of one
@@ -25,18 +25,18 @@ from pyspark.sql import functions as F
 from tessera.llm.common import documents, stage
 
 WINDOW = 10
-#: Words of a lower-cased text.
-PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What separates the words of a lower-cased text; splitting costs a seventh of extracting matches.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Test windows in a broadcast, each of some 200 bytes.
-BLOCK = 100_000
+#: Anchor terms that are looked for in one pass over the index; their windows are broadcast with them.
+BLOCK = 20_000
 #: Proximity: so many of a window's different terms within so many words around the rarest one.
 NEAR_TERMS, NEAR_REACH = 8, 15
 
 
 def terms(text: Column) -> Column:
     """Hashes of a text's words in order; none for null."""
-    words = F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(PATTERN), F.lit(0))
+    words = F.array_remove(F.split(F.translate(text, UPPER, LOWER), BETWEEN), "")
     return F.coalesce(F.transform(words, lambda w: F.xxhash64(w)), F.array().cast("array<bigint>"))
 
 
@@ -55,16 +55,15 @@ def test_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def in_blocks(table: DataFrame, key: str, most: int = BLOCK) -> list[DataFrame]:
-    """Parts of a staged table of about ``most`` rows each, by a hash of the key."""
-    n = table.count()
-    parts = -(-n // most)
+    """Parts of a staged table of at most about ``most`` different keys each, by a hash of the key."""
+    parts = -(-table.select(key).distinct().count() // most)
     return [table] if parts <= 1 else [table.where(F.pmod(F.xxhash64(key), F.lit(2 * parts)) == i) for i in range(2 * parts)]
 
 
 def term_counts(index: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """term, n: occurrences in the index of the terms of the staged vocabulary that it has at all."""
     posted = index.select(F.explode("terms").alias("term"))
-    parts = [posted.join(F.broadcast(v), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n")) for v in in_blocks(vocabulary, "term", 20 * BLOCK)]
+    parts = [posted.join(F.broadcast(v), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n")) for v in in_blocks(vocabulary, "term", 100 * BLOCK)]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -82,26 +81,34 @@ def anchored(windows: DataFrame, counts: DataFrame) -> DataFrame:
     return ordered.select(first["term"].alias("anchor"), "item", first["offset"].alias("at"), "len", rest.alias("rest")).distinct()
 
 
-def candidates(index: DataFrame, block: DataFrame) -> DataFrame:
-    """Anchor postings with the windows that they may lie in."""
-    posted = index.select("doc_id", "text_key", "terms", F.posexplode("terms").alias("pos", "anchor"))
-    return posted.join(F.broadcast(block), "anchor")
+def candidates(index: DataFrame, block: DataFrame, reach: int) -> DataFrame:
+    """doc_id, text_key, pos, low, around, and the window's columns: postings of the block's anchors.
+
+    ``around`` has the terms within ``reach`` words, from position ``low`` on. Positions are picked
+    inside the row, so that its terms aren't copied for each of them.
+    """
+    wanted = [r.anchor for r in block.select("anchor").distinct().collect()]  # BLOCK numbers at most
+    at = F.filter(F.transform("terms", lambda x, i: F.when(x.isin(wanted), i)), lambda i: i.isNotNull())
+    low = lambda i: F.greatest(i - reach, F.lit(0))
+    near = F.transform(at, lambda i: F.struct(i.alias("pos"), F.get("terms", i).alias("anchor"), low(i).alias("low"), F.slice("terms", low(i) + 1, F.lit(2 * reach + 1)).alias("around")))
+    return index.select("doc_id", "text_key", F.explode(near).alias("x")).select("doc_id", "text_key", "x.*").join(F.broadcast(block), "anchor")
 
 
-def phrase_matches(index: DataFrame, anchors: DataFrame) -> DataFrame:
+def phrase_matches(index: DataFrame, anchors: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, text_key, item, first, after: every exact occurrence of a test window, end exclusive."""
-    same = F.forall("rest", lambda r: F.coalesce(F.get("terms", F.col("pos") + r["shift"]) == r["term"], F.lit(False)))
+    same = F.forall("rest", lambda r: F.coalesce(F.get("around", F.col("pos") - F.col("low") + r["shift"]) == r["term"], F.lit(False)))
     first = F.col("pos") - F.col("at")
-    parts = [candidates(index, b).where((first >= 0) & same).select("doc_id", "text_key", "item", first.alias("first"), (first + F.col("len")).alias("after")) for b in in_blocks(anchors, "anchor")]
+    parts = [
+        candidates(index, b, window - 1).where((first >= 0) & same).select("doc_id", "text_key", "item", first.alias("first"), (first + F.col("len")).alias("after"))
+        for b in in_blocks(anchors, "anchor")
+    ]
     return reduce(DataFrame.unionByName, parts)
 
 
 def proximity_matches(index: DataFrame, anchors: DataFrame, need: int = NEAR_TERMS, reach: int = NEAR_REACH) -> DataFrame:
     """doc_id, text_key, item, pos: anchors with at least ``need`` different terms of their window within ``reach`` words."""
-    low = F.greatest(F.col("pos") - reach, F.lit(0))
-    around = F.slice("terms", low + 1, F.lit(2 * reach + 1))
-    shared = F.size(F.array_intersect(around, F.concat(F.array("anchor"), F.transform("rest", lambda r: r["term"]))))
-    parts = [candidates(index, b).where((F.col("len") >= need) & (shared >= need)).select("doc_id", "text_key", "item", "pos") for b in in_blocks(anchors, "anchor")]
+    shared = F.size(F.array_intersect("around", F.concat(F.array("anchor"), F.transform("rest", lambda r: r["term"]))))
+    parts = [candidates(index, b, reach).where((F.col("len") >= need) & (shared >= need)).select("doc_id", "text_key", "item", "pos") for b in in_blocks(anchors, "anchor")]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -112,7 +119,7 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tuple[Da
     vocabulary = stage(windows.select(F.explode("terms").alias("term")).distinct(), "test-terms")
     counts = stage(term_counts(index, vocabulary), "test-term-counts")
     anchors = stage(anchored(windows, counts), "test-anchors")
-    return index, phrase_matches(index, anchors)
+    return index, phrase_matches(index, anchors, window)
 
 
 def report(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
