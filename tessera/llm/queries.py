@@ -10,12 +10,14 @@ from tessera.llm.quality import op9_tokeniser_fertility
 from tessera.llm.secrets import op3_crf_secrets
 from tessera.llm.sharding import op5_best_fit_sharding
 from tessera.llm.substring import OP4_SQL, op4_rabin_karp_windows
+from tessera.llm.suffix import op6_interval_expansion
 
 QUERIES = {
     "op1_positional_index": op1_positional_index,
     "op3_crf_secrets": op3_crf_secrets,
     "op4_rabin_karp_windows": op4_rabin_karp_windows,
     "op5_best_fit_sharding": op5_best_fit_sharding,
+    "op6_interval_expansion": op6_interval_expansion,
     "op7_chosen_path": op7_chosen_path,
     "op8_consensus_html": op8_consensus_html,
     "op9_tokeniser_fertility": op9_tokeniser_fertility,
