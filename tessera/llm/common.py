@@ -11,8 +11,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words of texts: runs without ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
+#: What separates words of texts: ASCII white space.
+BETWEEN = r"[\x20\x09-\x0D]+"
 #: Rows in an Arrow batch; whole texts travel in them, so the default of 10,000 is too many.
 ARROW_ROWS = 512
 
@@ -87,9 +87,5 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def words_in(text: Column) -> Column:
     """Number of words; 0 for null."""
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    return F.coalesce(F.size(F.array_remove(F.split(text, BETWEEN), "")), F.lit(0)).cast("long")
 
-
-def fresh(df: DataFrame, *names: str) -> DataFrame:
-    """Only these columns; an operator names its own results, so other columns can't clash with them."""
-    return df.select(*names)

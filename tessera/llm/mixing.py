@@ -8,7 +8,7 @@ threshold found, so nothing is sorted and larger budgets take supersets of small
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import stage, words_in
@@ -79,44 +79,56 @@ def thresholds(slim: DataFrame, budgets: DataFrame) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, share: float = SHARE, repeats: float = REPEATS, weights=WEIGHTS, extra: list[str] | None = None) -> DataFrame:
-    """doc_id, size, source_size, target and taken for every row.
+def hash_of() -> Column:
+    """A document's fixed hash of SPACE bits, from its id and text."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit("mix"), "doc_id", "text"), 64 - SPACE)
 
-    A null text has no words; a null source is a source of its own, after all others. Rows with equal
-    id and text have one hash, so they are taken alike. Sources without words have target 0. An empty
-    table gives an empty result. ``taken`` is a whole number of times the document's size.
-    """
-    spark = docs.sparkSession
-    slim = stage(
-        docs.select(
-            "doc_id",
-            *(extra or []),
-            F.col("source").cast("string").alias("source"),
-            words_in(F.col("text")).alias("size"),
-            F.shiftrightunsigned(F.xxhash64(F.lit("mix"), "doc_id", "text"), 64 - SPACE).alias("h"),
-        ),
-        "mix-sizes",
-    )
+
+def slim_of(docs: DataFrame) -> DataFrame:
+    return stage(docs.select("doc_id", F.col("source").cast("string").alias("source"), words_in(F.col("text")).alias("size"), hash_of().alias("h")), "mix-sizes")
+
+
+def plan(slim: DataFrame, share: float = SHARE, repeats: float = REPEATS, weights=WEIGHTS) -> DataFrame:
+    """mix_source, source_size, target, whole, threshold: a source is taken ``whole`` times, and once more below the threshold."""
+    spark = slim.sparkSession
     sums = slim.groupBy("source").agg(F.sum("size").alias("n")).collect()
     sums.sort(key=lambda r: (r.source is None, r.source or ""))
     want = targets([r.n for r in sums], share, repeats, weights)
-    plan = []
+    rows = []
     for r, t in zip(sums, want, strict=True):
         whole = min(int(t // r.n), int(repeats)) if r.n else 0
-        plan.append((r.source, r.n, t, whole, float(t - whole * r.n)))
-    sources = spark.createDataFrame(plan, "source string, source_size long, target double, whole int, budget double")
+        rows.append((r.source, r.n, t, whole, float(t - whole * r.n)))
+    sources = spark.createDataFrame(rows, "source string, source_size long, target double, whole int, budget double")
     cut = thresholds(slim, sources.select("source", "budget"))
-    table = spark.createDataFrame(
-        sources.alias("a").join(cut.alias("c"), F.col("a.source").eqNullSafe(F.col("c.source")), "left").select("a.source", "source_size", "target", "whole", F.coalesce("threshold", F.lit(0)).alias("threshold")).collect(),
-        "mix_source string, source_size long, target double, whole int, threshold long",
-    )
-    table = F.broadcast(table) if len(plan) <= BROADCAST_SOURCES else table
-    times = F.col("whole") + (F.col("h") < F.col("threshold")).cast("int")
-    return (
-        slim.join(table, F.col("source").eqNullSafe(F.col("mix_source")))
-        .withColumn("copies", F.least(times, F.lit(int(repeats))))
-        .select("doc_id", *(extra or []), "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
-    )
+    both = sources.alias("a").join(cut.alias("c"), F.col("a.source").eqNullSafe(F.col("c.source")), "left")
+    table = both.select(F.col("a.source").alias("mix_source"), "source_size", "target", "whole", F.coalesce("threshold", F.lit(0)).alias("threshold"))
+    table = spark.createDataFrame(table.collect(), "mix_source string, source_size long, target double, whole int, threshold long")
+    return F.broadcast(table) if len(rows) <= BROADCAST_SOURCES else table
+
+
+def copies(repeats: float = REPEATS) -> Column:
+    """Times that a row with a plan's columns and its hash ``h`` is taken."""
+    return F.least(F.col("whole") + (F.col("h") < F.col("threshold")).cast("int"), F.lit(int(repeats)))
+
+
+def mix(docs: DataFrame, share: float = SHARE, repeats: float = REPEATS, weights=WEIGHTS) -> DataFrame:
+    """doc_id, size, source_size, target and taken for every row.
+
+    A null text has no words; a null source is a source of its own, after all others. Rows with equal
+    id and text have one hash, so they are taken alike. Sources without words have target 0. An empty
+    table gives an empty result. ``taken`` is a whole number of times the document's size.
+    """
+    slim = slim_of(docs)
+    joined = slim.join(plan(slim, share, repeats, weights), F.col("source").eqNullSafe(F.col("mix_source")))
+    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * copies(repeats)).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, share: float = SHARE, repeats: float = REPEATS, weights=WEIGHTS) -> DataFrame:
+    """The mix itself: every document as often as it is taken, columns unchanged."""
+    table = plan(slim_of(docs), share, repeats, weights).select(F.struct("whole", "threshold").alias("__plan"), F.col("mix_source").alias("__source"))
+    joined = docs.withColumn("__h", hash_of()).join(table, F.col("source").cast("string").eqNullSafe(F.col("__source")))
+    times = F.least(F.col("__plan.whole") + (F.col("__h") < F.col("__plan.threshold")).cast("int"), F.lit(int(repeats)))
+    return joined.withColumn("__n", F.explode(F.sequence(F.lit(0), times))).where("__n > 0").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_hash_threshold_mix(spark, sf_dir: str) -> DataFrame:
