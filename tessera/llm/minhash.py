@@ -3,8 +3,9 @@
 A document's set holds the hashes of its distinct word shingles. Equal sets are one vertex. TREES
 independent trees branch on selected minwise tokens: the root of a tree sends each vertex to the
 child named by its minwise token under one hash function; a node that is still larger than LEAF
-selects BRANCH further functions by its own name, and sends its vertices to a child for each. Nodes
-of one vertex end. Small nodes are compared exhaustively on sketches; what is linked there, loosely,
+selects BRANCH further functions by its own name, and sends its vertices to a child for each, except
+those that all but equal its pivot: all vertices like the pivot are linked with it, and these end, so
+a large group of close copies doesn't multiply. Nodes of one vertex end. Small nodes are compared exhaustively on sketches; what is linked there, loosely,
 is a spanning forest, so a node yields fewer links than vertices however many pairs it has.
 
 The components of all loose links are candidate clusters. Each member's full set is then sent once,
@@ -14,8 +15,8 @@ blocks, each with the cluster's pivot; members whose component in their block la
 compared with every other block afterwards. So no pair of components is left uncompared.
 
 Recall: two sets at the threshold meet in a tree's first node with probability 0.75 and stay
-together per level with 1 - 0.25**BRANCH; at the greatest depth they miss one tree with 0.45 and all
-16 with 3e-6. Loose links need a sketch estimate of LOOSE, five standard deviations below 0.75.
+together per level with 1 - 0.25**BRANCH; at the greatest depth they miss one tree with 0.38 and all
+16 with 2e-7. Loose links need a sketch estimate of LOOSE, five standard deviations below 0.75.
 
 Cases: null or empty texts have an empty set and are linked with nothing; shorter texts than a
 shingle are one shingle; a component is named by its smallest doc_id, nulls only if there is no
@@ -40,11 +41,15 @@ from tessera.llm.components import components
 SHINGLE = 5
 #: Links need 100 * shared >= THRESHOLD * united.
 THRESHOLD = 75
-TREES, BRANCH, DEPTH = 16, 2, 6
+TREES, BRANCH, DEPTH = 16, 2, 4
 #: Minwise values of a vertex: the first TREES are the roots', the others are for branching. And bytes of its sketch.
 PATHS, SKETCH = 32, 128
-LEAF, BLOCK = 256, 2000
+#: Members of a node that are compared on sketches in one task, and of a cluster that are compared on full sets.
+LEAF, BLOCK = 4000, 1500
 LOOSE = 0.55
+#: Vertices so like a large node's pivot need not branch: a true neighbour of theirs has a distance of at
+#: most 0.25 + 0.05 from the pivot and is linked with it itself.
+STRONG = 0.95
 #: Cluster members up to this number are broadcast (some 60 bytes each) to find their texts; more are joined by a shuffle.
 BROADCAST_MEMBERS = 500_000
 
@@ -105,10 +110,21 @@ def vertices(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 
 def _children(nodes: DataFrame, depth: int) -> DataFrame:
-    """node, rid: children of (node, rid, paths); the root's children at depth 0."""
+    """node, rid: children of (node, rid, paths, sketch, pivot, p_sketch); the root's children at depth 0.
+
+    Vertices like the pivot come back with it, without a node; those that all but equal it end there.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            if depth:
+                sketch, pivot = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH) for c in ("sketch", "p_sketch"))
+                like = (sketch == pivot).mean(axis=1)
+                linked = batch.filter(pa.array(like >= LOOSE))
+                yield pa.RecordBatch.from_arrays([pa.nulls(linked.num_rows, pa.int64()), linked.column("rid"), linked.column("pivot")], names=["node", "rid", "pivot"])
+                batch = batch.filter(pa.array(like < STRONG))
             paths = np.frombuffer(b"".join(batch.column("paths").to_pylist()), np.uint32).reshape(-1, PATHS).astype(U)
             if depth == 0:
                 picks = np.tile(np.arange(TREES), (len(paths), 1))
@@ -124,9 +140,10 @@ def _children(nodes: DataFrame, depth: int) -> DataFrame:
             values = np.take_along_axis(paths, picks, axis=1)
             child = rolling.mix(rolling.mix(base + U(depth)) ^ rolling.mix(values + (picks.astype(U) << U(40)))).view(np.int64)
             n = child.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(child.ravel()), batch.column("rid").take(pa.array(np.repeat(np.arange(len(paths)), n)))], names=["node", "rid"])
+            rids = batch.column("rid").take(pa.array(np.repeat(np.arange(len(paths)), n)))
+            yield pa.RecordBatch.from_arrays([pa.array(child.ravel()), rids, pa.nulls(len(rids), pa.binary())], names=["node", "rid", "pivot"])
 
-    return nodes.mapInArrow(run, "node long, rid binary")
+    return nodes.mapInArrow(run, "node long, rid binary, pivot binary")
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
@@ -233,12 +250,13 @@ def _forest(spark_rows: DataFrame, exact: bool, threshold: int = THRESHOLD) -> D
     return dealt.mapInArrow(run, "u binary, v binary, apart boolean")
 
 
-def forest(members: DataFrame, sizes: DataFrame, exact: bool, threshold: int = THRESHOLD, block: int = BLOCK) -> DataFrame:
+def forest(members: DataFrame, sizes: DataFrame, exact: bool, threshold: int = THRESHOLD, block: int | None = None) -> DataFrame:
     """Links (u, v) that connect what is linked in each group. members: grp, rid and payload; sizes: grp, n, pivot.
 
     Groups over ``block`` go in blocks with the group's pivot; what a block doesn't connect to it is
     asked against all other blocks, in parts of at most about a block.
     """
+    block = block or BLOCK
     blocks = F.ceil(F.col("n") / block).cast("int")
     payload = ["sketch"] + (["values"] if exact else [])
     sized = members.join(sizes, "grp").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
@@ -265,30 +283,40 @@ def forest(members: DataFrame, sizes: DataFrame, exact: bool, threshold: int = T
 def loose_links(reps: DataFrame) -> DataFrame:
     """u, v: links by sketch within the nodes of all trees. reps: rid, paths, sketch, one row each."""
     found = []
-    nodes = stage(_children(reps.select("rid", "paths"), 0), "near-nodes")
+    nodes = stage(_children(reps.select("rid", "paths"), 0).select("node", "rid"), "near-nodes")
     for depth in range(1, DEPTH + 1):
         sizes = stage(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("pivot")).where("n > 1"), "near-sizes")
         last = depth == DEPTH
         small = sizes if last else sizes.where(F.col("n") <= LEAF)
         members = nodes.join(small.select("node"), "node", "left_semi").join(reps.select("rid", "sketch"), "rid").withColumnRenamed("node", "grp")
-        found.append(stage(forest(members, small.withColumnRenamed("node", "grp"), False).distinct(), "near-loose"))
+        found.append(forest(members, small.withColumnRenamed("node", "grp"), False, block=LEAF))
         large = sizes.where(F.col("n") > LEAF)
         if last or large.isEmpty():
             break
-        inside = nodes.join(large.select("node"), "node", "left_semi").join(reps.select("rid", "paths"), "rid")
-        nodes = stage(_children(inside.select("node", "rid", "paths"), depth).distinct(), "near-nodes")
+        pivots = large.join(reps.select(F.col("rid").alias("pivot"), F.col("sketch").alias("p_sketch")), "pivot").select("node", "pivot", "p_sketch")
+        grown = stage(_children(nodes.join(pivots, "node").join(reps, "rid"), depth), "near-nodes")
+        found.append(grown.where("node is null").select(F.col("pivot").alias("u"), F.col("rid").alias("v")))
+        nodes = grown.where("node is not null").select("node", "rid").distinct()
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
     return out
 
 
+def exact_labels(full: DataFrame, sizes: DataFrame, threshold: int) -> DataFrame:
+    """v, label: components by exact links. Links of an undivided cluster lead to its components' first members."""
+    links = forest(full, sizes, True, threshold)
+    if sizes.where(F.col("n") > BLOCK).isEmpty():
+        return links.select("v", F.col("u").alias("label"))
+    return components(links)
+
+
 def with_components(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id of every row."""
     rows = vertices(docs, size)
     slim = rows.select("doc_id", "text_key", "n_shingles", "rid")
     reps = stage(
-        rows.where("rid is not null").groupBy("rid").agg(F.min(F.struct("doc_id", "text_key")).alias("one"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch")),
+        rows.where("rid is not null").groupBy("rid").agg(F.min(F.struct("doc_id", "text_key")).alias("one"), F.min("paths").alias("paths"), F.min("sketch").alias("sketch")),
         "near-sets",
     )
     clusters = components(loose_links(reps))
@@ -305,7 +333,7 @@ def with_components(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("grp", "rid", "sketch")), pa.array([s.tobytes() for s in sets], pa.binary())], names=["grp", "rid", "sketch", "values"])
 
     full = texts.mapInArrow(run, "grp binary, rid binary, sketch binary, values binary")
-    labels = components(forest(full, sizes, True, threshold))
+    labels = exact_labels(full, sizes, threshold)
     named = slim.join(labels, slim["rid"] == labels["v"], "left").withColumn("label", F.coalesce("label", "rid")).drop("v")
     least = stage(named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id")), "near-names")
     # most components are one set: only names are joined, and rows of a hot one are the side that Spark splits
