@@ -12,8 +12,8 @@ included, consists of repeated stretches. Extension ends at the greatest offset
 have; intervals of one suffix end at once.
 
 A context that a block of documents has twice is repeated as a whole, so one copy of it is sent.
-Anchors with more than GROUP contexts are settled by counting the hashes of their stretches, summed
-in part before the shuffle; no group then lies in one task.
+Anchors with more than GROUP contexts are settled by counting the hashes of their stretches; chunks of
+contexts send each once, so no group lies in one task.
 
 Cases: null and empty texts have no bytes; texts under ``size`` bytes lose none; equal rows are
 copies of one another and lose all repeated bytes; other columns are ignored; an empty table gives
@@ -38,7 +38,9 @@ from tessera.llm.substring import MESSAGE, NO_ID, _block, _ids, _rows, _texts
 SIZE, K = 400, 64
 PER_BUCKET, PER_BLOCK, PIECE = 32 << 20, 8 << 20, 1 << 20
 #: Contexts of an anchor in one task, and rows that are expanded together.
-GROUP, TOGETHER = 20_000, 8_000
+GROUP, TOGETHER = 4_000, 6_000
+#: Contexts of such anchors that are counted together before they are sent.
+CHUNK_ROWS = 4_000
 U = rolling.U
 LOW = U((1 << 24) - 1)
 
@@ -345,32 +347,79 @@ def settle(rows: DataFrame, size: int, blocks: int) -> DataFrame:
     return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, MESSAGE)
 
 
-def settle_large(rows: DataFrame, size: int, blocks: int) -> DataFrame:
+def _stretches(table: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all stretches around the anchors: a hash with the anchor and its offset, a second one, the row and the start.
+
+    With the anchor and its offset in the hash, each stretch of a text counts once.
+    """
+    anchor, pos, begins = (table.column(c).to_numpy() for c in ("anchor", "pos", "begins"))
+    keys, seconds, rows, starts = [], [], [], []
+    for i, context in enumerate(table.column("context").to_pylist()):
+        codes = rolling.BYTES[np.frombuffer(context, np.uint8)]
+        one = rolling.windows(codes, size)
+        offset = np.arange(len(one)) - begins[i]
+        keys.append(one ^ rolling.mix(offset.astype(U) ^ rolling.mix(anchor[i : i + 1].view(U))))
+        seconds.append(rolling.windows(codes, size, rolling.BASE2))
+        rows.append(np.full(len(one), i))
+        starts.append(offset + pos[i])
+    return np.concatenate(keys), np.concatenate(seconds), np.concatenate(rows), np.concatenate(starts)
+
+
+def large_chunk(table: pa.Table, size: int, buckets: int, blocks: int) -> list[tuple]:
+    """Messages of a chunk of contexts: to blocks the stretches that it has twice, to buckets one of each."""
+    ids, crcs = table.column("id").to_numpy(), table.column("crc").to_numpy().astype(np.uint32)
+    keys, seconds, row, start = _stretches(table, size)
+    _, first, inverse, counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+    at = np.flatnonzero(counts[inverse] > 1)
+    out = []
+    if len(at):
+        begins = np.concatenate([[True], (np.diff(at) > 1) | (np.diff(row[at]) != 0)])
+        a, z = at[begins], at[np.concatenate([begins[1:], [True]])]
+        out += to_blocks(2, ids[row[a]], crcs[row[a]], np.stack([start[a], start[z] + size], axis=1), blocks)
+    bucket = (seconds[first] % U(buckets)).astype(np.int64)
+    order = np.lexsort((row[first], bucket))
+    first, bucket = first[order], bucket[order]
+    cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+    for b in np.flatnonzero(np.diff(cuts)):
+        own = first[cuts[b] : cuts[b + 1]]
+        rows, n = np.unique(row[own], return_counts=True)
+        data = keys[own].tobytes() + start[own].astype(np.uint32).tobytes()
+        out.append((int(b), 1, ids[rows].tobytes(), crcs[rows].tobytes(), n.astype(np.uint32).tobytes(), data))
+    return out
+
+
+def large_bucket(messages: list[tuple[bytes, bytes, bytes, bytes]], size: int, blocks: int) -> list[tuple]:
+    """Messages to blocks: the stretches that more than one chunk has."""
+    ids, crcs, counts = (np.concatenate([np.frombuffer(m[i], t) for m in messages]) for i, t in enumerate((np.int64, np.uint32, np.uint32)))
+    keys = np.concatenate([np.frombuffer(m[3][: len(m[3]) * 2 // 3], U) for m in messages])
+    start = np.concatenate([np.frombuffer(m[3][len(m[3]) * 2 // 3 :], np.uint32) for m in messages]).astype(np.int64)
+    _, inverse, n = np.unique(keys, return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(ids)), counts)
+    again = np.flatnonzero(n[inverse] > 1)
+    return to_blocks(2, ids[owner[again]], crcs[owner[again]], np.stack([start[again], start[again] + size], axis=1), blocks)
+
+
+def settle_large(rows: DataFrame, size: int, blocks: int, count: int) -> DataFrame:
     """The same for anchors with very many contexts: hashes of all stretches around them, counted by Spark."""
+    buckets = max(1, -(-count // 5000))
 
-    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                codes = np.frombuffer(batch.column("context")[i].as_py(), np.uint8)
-                one = rolling.windows(rolling.BYTES[codes], size)
-                two = rolling.windows(rolling.BYTES[codes], size, rolling.BASE2)
-                starts = np.arange(len(one)) + (batch.column("pos")[i].as_py() - batch.column("begins")[i].as_py())
-                same = [batch.column(c).take(pa.array(np.full(len(one), i))) for c in ("anchor", "id", "crc", "settled")]
-                offset = np.arange(len(one)) - batch.column("begins")[i].as_py()
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (one.view(np.int64), two.view(np.int64), offset, starts)] + same, names=["h1", "h2", "offset", "start", "anchor", "id", "crc", "settled"])
-
-    # with the anchor and its offset in the key, each stretch of a text counts once
-    key = ["anchor", "offset", "h1", "h2"]
-    each = rows.mapInArrow(stretches, "h1 long, h2 long, offset long, start long, anchor long, id long, crc long, settled boolean")
-    twice = each.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key)
-    hit = each.where("not settled").join(twice, key).groupBy("id", "crc", "start").agg(F.count(F.lit(1)).alias("n"))
-
-    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
-            start = batch.column("start").to_numpy()
-            yield _rows(to_blocks(2, batch.column("id").to_numpy(), batch.column("crc").to_numpy().astype(np.uint32), np.stack([start, start + size], axis=1), blocks))
+            held.append(batch)
+            n += batch.num_rows
+            if n >= CHUNK_ROWS:
+                yield _rows(large_chunk(pa.Table.from_batches(held), size, buckets, blocks))
+                held, n = [], 0
+        if n:
+            yield _rows(large_chunk(pa.Table.from_batches(held), size, buckets, blocks))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (place,), table in groups(batches, ["place"]):
+            held = list(zip(*(c.to_pylist() for c in table.columns), strict=True))
+            yield _rows(held if place < 0 else large_bucket([r[2:] for r in held], size, blocks))
 
-    return hit.mapInArrow(tell, MESSAGE)
+    return rows.mapInArrow(send, MESSAGE).repartition("place").sortWithinPartitions("place").mapInArrow(find, MESSAGE)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -408,13 +457,12 @@ def deduplicated(docs: DataFrame, size: int = SIZE) -> DataFrame:
     source = keyed(docs)
     around = contexts(dealt_to_blocks(source, repeated_anchors(source, size, total, blocks), blocks), size, blocks)
     rows = around.where("place = 0").select(*[x.split()[0] for x in CONTEXT.split(", ")])
-    large = stage(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP).select("anchor"), "large-anchors")
+    large = stage(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP), "large-anchors")
+    count = large.agg(F.sum("n")).first()[0] or 0
     found = around.where("place < 0").select(*[x.split()[0] for x in MESSAGE.split(", ")])
-    if large.isEmpty():
-        found = found.unionByName(stage(settle(rows, size, blocks), "repeated-spans"))
-    else:
-        found = found.unionByName(stage(settle(rows.join(large, "anchor", "left_anti"), size, blocks), "repeated-spans"))
-        found = found.unionByName(stage(settle_large(stage(rows.join(large, "anchor", "left_semi"), "large-contexts"), size, blocks), "repeated-spans"))
+    found = found.unionByName(stage(settle(rows.join(large.select("anchor"), "anchor", "left_anti"), size, blocks), "repeated-spans"))
+    if count:
+        found = found.unionByName(stage(settle_large(rows.join(large.select("anchor"), "anchor", "left_semi"), size, blocks, count), "repeated-spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, spans, texts in _blocks_of(batches):
