@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
-import atexit
 import sys
-import tempfile
-import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.runtime import scratch, shared_dir, stage
+
+__all__ = ["documents", "scratch", "shared_dir", "ship", "small_batches", "stage", "words_in"]
+
 #: What separates words of texts: ASCII white space.
 BETWEEN = r"[\x20\x09-\x0D]+"
 #: Rows in an Arrow batch; whole texts travel in them, so the default of 10,000 is too many.
 ARROW_ROWS = 512
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
 
 def ship(name: str) -> None:
     """Send a module's functions to executors by value, so that no installation is needed there."""
@@ -29,58 +28,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only in local mode without a setting."""
-    conf = spark.sparkContext.getConf()
-    if found := conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    if not conf.get("spark.master", "").startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    global _local
-    if _local is None:
-        _local = tempfile.mkdtemp(prefix="tessera-")
-    return _local
-
-
-_local: str | None = None
-_staged: list[tuple[SparkSession, str]] = []
-
-
-def stage(df: DataFrame, tag: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts lineage and survives lost executors.
-
-    The shuffle files behind it are given back when the write ends. The table goes when the
-    application ends, or with :func:`release`.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    _staged.append((spark, path))
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release() -> None:
-    """Remove the staged tables; results that still depend on them must have been written."""
-    while _staged:
-        spark, path = _staged.pop()
-        if spark.sparkContext._jsc is None:
-            continue
-        try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception as error:  # the JVM may be gone at exit
-            print(f"not removed: {path}: {type(error).__name__}", file=sys.stderr)
-            return
-
-
-atexit.register(lambda: release() if SparkSession.getActiveSession() else None)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

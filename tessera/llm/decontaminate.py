@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, stage
+from tessera.llm.common import documents, scratch, stage
 
 WINDOW = 10
 #: What separates the words of a lower-cased text; splitting costs a seventh of extracting matches.
@@ -123,8 +123,12 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tuple[Da
 
 
 def report(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, text_key, n_words, n_hit, items (sorted strings) for every row."""
-    index, found = matches(docs, items, window)
+    """doc_id, text_key, n_words, n_hit, items (sorted strings) for every row, staged; the index is dropped."""
+    with scratch():
+        return stage(_report(*matches(docs, items, window)), "contamination", outer=True)
+
+
+def _report(index: DataFrame, found: DataFrame) -> DataFrame:
     # the union of a document's hit ranges: what each adds beyond the furthest end before it
     before = F.expr("max(after) over (partition by doc_id, text_key order by first, after rows between unbounded preceding and 1 preceding)")
     added = F.greatest(F.lit(0), F.col("after") - F.greatest(F.col("first"), F.coalesce(before, F.lit(0))))
@@ -138,8 +142,9 @@ def report(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """Documents without any occurrence of a test window, columns unchanged."""
-    _, found = matches(docs, items, window)
-    dirty = found.select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key")).distinct()
+    with scratch():
+        _, found = matches(docs, items, window)
+        dirty = stage(found.select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key")).distinct(), "contaminated", outer=True)
     same = docs["doc_id"].eqNullSafe(F.col("__doc")) & (F.xxhash64(docs["text"]) == F.col("__key"))
     return docs.join(dirty, same, "left_anti")
 

@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import rolling
-from tessera.llm.common import documents, ship, small_batches, stage
+from tessera.llm.common import documents, scratch, ship, small_batches, stage
 from tessera.llm.components import components
 
 SHINGLE = 5
@@ -110,7 +111,7 @@ def vertices(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 
 def _children(nodes: DataFrame, depth: int) -> DataFrame:
-    """node, rid: children of (node, rid, paths, sketch, pivot, p_sketch); the root's children at depth 0.
+    """node, v: children of (node, v, paths, sketch, pivot, p_sketch); the root's children at depth 0.
 
     Vertices like the pivot come back with it, without a node; those that all but equal it end there.
     """
@@ -123,7 +124,7 @@ def _children(nodes: DataFrame, depth: int) -> DataFrame:
                 sketch, pivot = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH) for c in ("sketch", "p_sketch"))
                 like = (sketch == pivot).mean(axis=1)
                 linked = batch.filter(pa.array(like >= LOOSE))
-                yield pa.RecordBatch.from_arrays([pa.nulls(linked.num_rows, pa.int64()), linked.column("rid"), linked.column("pivot")], names=["node", "rid", "pivot"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(linked.num_rows, pa.int64()), linked.column("v"), linked.column("pivot")], names=["node", "v", "pivot"])
                 batch = batch.filter(pa.array(like < STRONG))
             paths = np.frombuffer(b"".join(batch.column("paths").to_pylist()), np.uint32).reshape(-1, PATHS).astype(U)
             if depth == 0:
@@ -140,10 +141,10 @@ def _children(nodes: DataFrame, depth: int) -> DataFrame:
             values = np.take_along_axis(paths, picks, axis=1)
             child = rolling.mix(rolling.mix(base + U(depth)) ^ rolling.mix(values + (picks.astype(U) << U(40)))).view(np.int64)
             n = child.shape[1]
-            rids = batch.column("rid").take(pa.array(np.repeat(np.arange(len(paths)), n)))
-            yield pa.RecordBatch.from_arrays([pa.array(child.ravel()), rids, pa.nulls(len(rids), pa.binary())], names=["node", "rid", "pivot"])
+            same = batch.column("v").take(pa.array(np.repeat(np.arange(len(paths)), n)))
+            yield pa.RecordBatch.from_arrays([pa.array(child.ravel()), same, pa.nulls(len(same), pa.int64())], names=["node", "v", "pivot"])
 
-    return nodes.mapInArrow(run, "node long, rid binary, pivot binary")
+    return nodes.mapInArrow(run, "node long, v long, pivot long")
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
@@ -209,12 +210,14 @@ def exact_near(sets: list[np.ndarray], sketches: np.ndarray, threshold: int = TH
     return near
 
 
-def _forest(spark_rows: DataFrame, exact: bool, threshold: int = THRESHOLD) -> DataFrame:
+def _forest(rows: DataFrame, exact: bool, threshold: int = THRESHOLD) -> DataFrame:
     """u, v, apart: links of each (grp, block) from its members to the first of their component.
 
     ``apart`` marks members whose component in the block lacks the pivot, if there are more blocks.
     Rows with role 1 are asked against those with role 0 instead, if there are any.
     """
+    kind = rows.schema["member"].dataType.simpleString()
+    arrow = pa.binary() if kind == "binary" else pa.int64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -226,12 +229,11 @@ def _forest(spark_rows: DataFrame, exact: bool, threshold: int = THRESHOLD) -> D
         yield pack(out)
 
     def solve(table: pa.Table) -> list[tuple]:
-        rids, roles, pivots = table.column("rid").to_pylist(), table.column("role").to_pylist(), table.column("pivot").to_pylist()
-        seen: dict[bytes, int] = {}
-        for i in sorted(range(len(rids)), key=lambda i: (-roles[i], rids[i] != pivots[i], rids[i])):
-            seen.setdefault(rids[i], i)
-        order = list(seen.values())
-        names = list(seen)
+        members, roles, pivots = (table.column(c).to_pylist() for c in ("member", "role", "pivot"))
+        seen: dict = {}
+        for i in sorted(range(len(members)), key=lambda i: (-roles[i], members[i] != pivots[i], members[i])):
+            seen.setdefault(members[i], i)
+        order, names = list(seen.values()), list(seen)
         if len(names) < 2:
             return []
         sketches = np.frombuffer(b"".join(table.column("sketch")[i].as_py() for i in order), np.uint8).reshape(len(order), SKETCH)
@@ -239,108 +241,107 @@ def _forest(spark_rows: DataFrame, exact: bool, threshold: int = THRESHOLD) -> D
         near = exact_near([np.frombuffer(table.column("values")[i].as_py(), U) for i in order], sketches, threshold) if exact else sketch_near(sketches)
         labels = link_all(len(order), near, asking)
         lone = pivots[0] is not None and not asking
-        found = [(names[k], names[i], bool(lone and k != 0)) for i, k in enumerate(labels.tolist()) if k != i or lone and k != 0]
-        return found
+        return [(names[k], names[i], bool(lone and k != 0)) for i, k in enumerate(labels.tolist()) if k != i or lone and k != 0]
 
     def pack(out: list[tuple]) -> pa.RecordBatch:
         cells = list(zip(*out, strict=True)) or [[]] * 3
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, [pa.binary(), pa.binary(), pa.bool_()], strict=True)], names=["u", "v", "apart"])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, [arrow, arrow, pa.bool_()], strict=True)], names=["u", "v", "apart"])
 
-    dealt = spark_rows.repartition("grp", "block").sortWithinPartitions("grp", "block")
-    return dealt.mapInArrow(run, "u binary, v binary, apart boolean")
+    dealt = rows.repartition("grp", "block").sortWithinPartitions("grp", "block")
+    return dealt.mapInArrow(run, f"u {kind}, v {kind}, apart boolean")
 
 
-def forest(members: DataFrame, sizes: DataFrame, exact: bool, threshold: int = THRESHOLD, block: int | None = None) -> DataFrame:
-    """Links (u, v) that connect what is linked in each group. members: grp, rid and payload; sizes: grp, n, pivot.
+def forest(sized: DataFrame, exact: bool, divided: bool, block: int, threshold: int = THRESHOLD) -> DataFrame:
+    """Staged links (u, v) that connect what is linked in each group. sized: grp, n, pivot, member and payload.
 
-    Groups over ``block`` go in blocks with the group's pivot; what a block doesn't connect to it is
-    asked against all other blocks, in parts of at most about a block.
+    Groups over ``block`` (``divided`` tells whether there are any) go in blocks with the group's
+    pivot; what a block doesn't connect to it is asked against all other blocks, in parts of at most
+    about a block.
     """
-    block = block or BLOCK
-    blocks = F.ceil(F.col("n") / block).cast("int")
     payload = ["sketch"] + (["values"] if exact else [])
-    sized = members.join(sizes, "grp").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
-    places = F.when((F.col("blocks") > 1) & (F.col("rid") == F.col("pivot")), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
-    rows = sized.select("grp", "rid", *payload, F.explode(places).alias("block"), F.lit(0).alias("role"), F.when(F.col("blocks") > 1, F.col("pivot")).alias("pivot"), "blocks", "own")
-    links = stage(_forest(rows, exact, threshold), "near-links")
-    found = links.select("u", "v")
-    apart = links.where("apart").select(F.col("v").alias("rid")).distinct()
-    if apart.isEmpty():
-        return found
-    lone = sized.where("blocks > 1").join(apart, "rid", "left_semi")
-    counts = lone.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
-    asked = lone.join(counts, "grp").withColumn("part", F.pmod(F.xxhash64("rid", F.lit(1)), F.col("parts")).cast("int"))
-    asked = asked.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("at <> own")
-    against = sized.where("blocks > 1").join(counts, "grp").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    number = lambda a, b: (a.cast("long") * F.lit(1 << 31) + b).alias("block")
-    none = F.lit(None).cast("binary").alias("pivot")
-    both = asked.select("grp", "rid", *payload, number(F.col("at"), F.col("part")), F.lit(1).alias("role"), none).unionByName(
-        against.select("grp", "rid", *payload, number(F.col("own"), F.col("part")), F.lit(0).alias("role"), none)
-    )
-    return found.unionByName(stage(_forest(both, exact, threshold), "near-links").select("u", "v"))
+    none = F.lit(None).cast(sized.schema["member"].dataType)
+    if not divided:
+        rows = sized.select("grp", "member", *payload, F.lit(0).alias("block"), F.lit(0).alias("role"), none.alias("pivot"))
+        return stage(_forest(rows, exact, threshold).select("u", "v").distinct(), "near-links", outer=True)
+    with scratch():
+        sized = stage(sized.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")), "near-blocks")
+        places = F.when((F.col("blocks") > 1) & (F.col("member") == F.col("pivot")), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
+        rows = sized.select("grp", "member", *payload, F.explode(places).alias("block"), F.lit(0).alias("role"), F.when(F.col("blocks") > 1, F.col("pivot")).alias("pivot"))
+        links = stage(_forest(rows, exact, threshold), "near-links")
+        found = links.select("u", "v")
+        apart = links.where("apart").select(F.col("v").alias("member")).distinct()
+        if not apart.isEmpty():
+            lone = sized.where("blocks > 1").join(apart, "member", "left_semi")
+            counts = lone.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+            asked = lone.join(counts, "grp").withColumn("part", F.pmod(F.xxhash64("member", F.lit(1)), F.col("parts")).cast("int"))
+            asked = asked.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("at <> own")
+            against = sized.where("blocks > 1").join(counts, "grp").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+            number = lambda a: (F.col(a).cast("long") * F.lit(1 << 31) + F.col("part")).alias("block")
+            both = asked.select("grp", "member", *payload, number("at"), F.lit(1).alias("role"), none.alias("pivot")).unionByName(
+                against.select("grp", "member", *payload, number("own"), F.lit(0).alias("role"), none.alias("pivot"))
+            )
+            found = found.unionByName(_forest(both, exact, threshold).select("u", "v"))
+        return stage(found.distinct(), "near-links", outer=True)
 
 
 def loose_links(reps: DataFrame) -> DataFrame:
-    """u, v: links by sketch within the nodes of all trees. reps: rid, paths, sketch, one row each."""
-    found = []
-    nodes = stage(_children(reps.select("rid", "paths"), 0).select("node", "rid"), "near-nodes")
-    for depth in range(1, DEPTH + 1):
-        sizes = stage(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("pivot")).where("n > 1"), "near-sizes")
-        last = depth == DEPTH
-        small = sizes if last else sizes.where(F.col("n") <= LEAF)
-        members = nodes.join(small.select("node"), "node", "left_semi").join(reps.select("rid", "sketch"), "rid").withColumnRenamed("node", "grp")
-        found.append(forest(members, small.withColumnRenamed("node", "grp"), False, block=LEAF))
-        large = sizes.where(F.col("n") > LEAF)
-        if last or large.isEmpty():
-            break
-        pivots = large.join(reps.select(F.col("rid").alias("pivot"), F.col("sketch").alias("p_sketch")), "pivot").select("node", "pivot", "p_sketch")
-        grown = stage(_children(nodes.join(pivots, "node").join(reps, "rid"), depth), "near-nodes")
-        found.append(grown.where("node is null").select(F.col("pivot").alias("u"), F.col("rid").alias("v")))
-        nodes = grown.where("node is not null").select("node", "rid").distinct()
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
-
+    """u, v: links by sketch within the nodes of all trees. reps: v, paths, sketch.
 
-def exact_labels(full: DataFrame, sizes: DataFrame, threshold: int) -> DataFrame:
-    """v, label: components by exact links. Links of an undivided cluster lead to its components' first members."""
-    links = forest(full, sizes, True, threshold)
-    if sizes.where(F.col("n") > BLOCK).isEmpty():
-        return links.select("v", F.col("u").alias("label"))
-    return components(links)
+    A vertex is a set's 64-bit number here; should two sets share it, they are compared as one and
+    both go on to the exact comparison.
+    """
+    found = []
+    with scratch():
+        nodes = stage(_children(reps.select("v", "paths"), 0).select("node", "v"), "near-nodes")
+        for depth in range(1, DEPTH + 1):
+            sizes = stage(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("pivot")).where("n > 1"), "near-sizes")
+            last = depth == DEPTH
+            large = sizes.where(F.col("n") > LEAF)
+            more = not large.isEmpty()
+            # joins of growing tables never broadcast
+            members = nodes.join((sizes if last else sizes.where(F.col("n") <= LEAF)).hint("merge"), "node")
+            members = members.join(reps.select("v", "sketch").hint("merge"), "v").select(F.col("node").alias("grp"), "n", "pivot", F.col("v").alias("member"), "sketch")
+            found.append(forest(members, False, last and more, LEAF))
+            if last or not more:
+                break
+            pivots = large.join(reps.select(F.col("v").alias("pivot"), F.col("sketch").alias("p_sketch")), "pivot").select("node", "pivot", "p_sketch")
+            grown = stage(_children(nodes.join(pivots, "node").join(reps, "v"), depth), "near-nodes")
+            found.append(stage(grown.where("node is null").select(F.col("pivot").alias("u"), "v").distinct(), "near-links"))
+            nodes = grown.where("node is not null").select("node", "v").distinct()
+        return stage(reduce(DataFrame.unionByName, found).distinct(), "near-loose", outer=True)
 
 
 def with_components(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, text_key, n_shingles, component_id of every row."""
-    rows = vertices(docs, size)
-    slim = rows.select("doc_id", "text_key", "n_shingles", "rid")
-    reps = stage(
-        rows.where("rid is not null").groupBy("rid").agg(F.min(F.struct("doc_id", "text_key")).alias("one"), F.min("paths").alias("paths"), F.min("sketch").alias("sketch")),
-        "near-sets",
-    )
-    clusters = components(loose_links(reps))
-    members = stage(clusters.join(reps, clusters["v"] == reps["rid"]).select("rid", F.col("label").alias("grp"), "one", "sketch"), "near-members")
-    sizes = stage(members.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("pivot")), "near-clusters")
-    known = members.select(F.col("one.doc_id").alias("m_doc"), F.col("one.text_key").alias("m_key"), "grp", "rid", "sketch")
-    known = F.broadcast(known) if known.limit(BROADCAST_MEMBERS + 1).count() <= BROADCAST_MEMBERS else known
-    texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    texts = texts.join(known, F.col("doc_id").eqNullSafe(F.col("m_doc")) & (F.col("text_key") == F.col("m_key"))).select("grp", "rid", "sketch", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = shingle_sets([t.as_py().encode("utf-8", "surrogatepass") for t in batch.column("text")], size)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("grp", "rid", "sketch")), pa.array([s.tobytes() for s in sets], pa.binary())], names=["grp", "rid", "sketch", "values"])
-
-    full = texts.mapInArrow(run, "grp binary, rid binary, sketch binary, values binary")
-    labels = exact_labels(full, sizes, threshold)
-    named = slim.join(labels, slim["rid"] == labels["v"], "left").withColumn("label", F.coalesce("label", "rid")).drop("v")
-    least = stage(named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id")), "near-names")
-    # most components are one set: only names are joined, and rows of a hot one are the side that Spark splits
-    return (
-        named.join(least, "label", "left")
-        .select("doc_id", "text_key", "n_shingles", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-    )
+    """doc_id, text_key, n_shingles, component_id of every row, staged."""
+    with scratch():
+        rows = vertices(docs, size)
+        slim = rows.select("doc_id", "text_key", "n_shingles", "rid")
+        reps = rows.where("rid is not null").groupBy("rid").agg(F.min(F.struct("doc_id", "text_key")).alias("one"), F.min("paths").alias("paths"), F.min("sketch").alias("sketch"))
+        reps = stage(reps.withColumn("v", F.xxhash64("rid")), "near-sets")
+        clusters = components(loose_links(reps.select("v", "paths", "sketch")))
+        members = stage(clusters.join(reps.hint("merge"), "v").select("rid", F.col("label").alias("grp"), "one", "sketch"), "near-members")
+        sizes = stage(members.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("pivot")), "near-clusters")
+        divided = not sizes.where(F.col("n") > BLOCK).isEmpty()
+        known = members.join(sizes, "grp").select(F.col("one.doc_id").alias("m_doc"), F.col("one.text_key").alias("m_key"), "grp", "n", "pivot", F.col("rid").alias("member"), "sketch")
+        known = F.broadcast(known) if members.limit(BROADCAST_MEMBERS + 1).count() <= BROADCAST_MEMBERS else known
+        texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+        same = F.col("doc_id").eqNullSafe(F.col("m_doc")) & (F.col("text_key") == F.col("m_key"))
+        chosen = texts.join(known, same).select("grp", "n", "pivot", "member", "sketch", "text")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sets = shingle_sets([t.as_py().encode("utf-8", "surrogatepass") for t in batch.column("text")], size)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array([s.tobytes() for s in sets], pa.binary())], names=[*kept, "values"])
+
+        kept = ["grp", "n", "pivot", "member", "sketch"]
+        links = forest(chosen.mapInArrow(run, "grp long, n long, pivot binary, member binary, sketch binary, values binary"), True, divided, BLOCK, threshold)
+        # links of an undivided cluster lead to its components' first members, so they name components already
+        labels = components(links) if divided else links.select("v", F.col("u").alias("label"))
+        named = slim.join(labels.hint("merge"), slim["rid"] == labels["v"], "left").withColumn("label", F.coalesce("label", "rid")).drop("v")
+        least = stage(named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id")), "near-names")
+        # most components are one set: only names are joined, and rows of a hot one are the side that Spark splits
+        own = F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+        return stage(named.join(least.hint("merge"), "label", "left").select("doc_id", "text_key", "n_shingles", own.alias("component_id")), "near-named", outer=True)
 
 
 def kept_documents(docs: DataFrame, **options) -> DataFrame:
@@ -349,7 +350,7 @@ def kept_documents(docs: DataFrame, **options) -> DataFrame:
     Of several texts with that id the one with the smallest key stays; rows with equal ids and texts
     are one document.
     """
-    named = stage(with_components(docs, **options), "near-named")
+    named = with_components(docs, **options)
     first = named.where("n_shingles > 0").groupBy(F.col("component_id").alias("c")).agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.struct("doc_id", "text_key"))).alias("one"))
     gone = named.where("n_shingles > 0").join(first, F.col("component_id").eqNullSafe(F.col("c"))).select("doc_id", "text_key", F.struct("doc_id", "text_key").eqNullSafe(F.col("one")).alias("stays"))
     drop = stage(gone.where("not stays").select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key")).distinct(), "near-dropped")

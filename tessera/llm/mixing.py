@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stage, words_in
+from tessera.llm.common import scratch, stage, words_in
 
 #: Weights of sources in code-point order, null last, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -125,7 +125,9 @@ def mix(docs: DataFrame, share: float = SHARE, repeats: float = REPEATS, weights
 
 def mixed_documents(docs: DataFrame, share: float = SHARE, repeats: float = REPEATS, weights=WEIGHTS) -> DataFrame:
     """The mix itself: every document as often as it is taken, columns unchanged."""
-    table = plan(slim_of(docs), share, repeats, weights).select(F.struct("whole", "threshold").alias("__plan"), F.col("mix_source").alias("__source"))
+    with scratch():
+        found = plan(slim_of(docs), share, repeats, weights)
+    table = found.select(F.struct("whole", "threshold").alias("__plan"), F.col("mix_source").alias("__source"))
     joined = docs.withColumn("__h", hash_of()).join(table, F.col("source").cast("string").eqNullSafe(F.col("__source")))
     times = F.least(F.col("__plan.whole") + (F.col("__h") < F.col("__plan.threshold")).cast("int"), F.lit(int(repeats)))
     return joined.withColumn("__n", F.explode(F.sequence(F.lit(0), times))).where("__n > 0").select(*[F.col(f"`{c}`") for c in docs.columns])

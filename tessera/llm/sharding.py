@@ -133,43 +133,40 @@ def shards(docs: DataFrame, bins: int, extra: list[str] | None = None) -> DataFr
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    slim = stage(
-        docs.select(
-            "doc_id",
-            *(extra or []),
-            (F.octet_length(text) + 1).cast("long").alias("size"),
-            F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-            F.xxhash64(text).alias("group_key"),
-        ),
-        "shard-sizes",
+    rows = docs.select(
+        "doc_id",
+        *(extra or []),
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
+        F.xxhash64(text).alias("group_key"),
     )
+    slim = stage(rows.select("doc_id", "size", "text_crc32", "group_key"), "shard-sizes")
     seen = slim.agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).first()
     items, parcels = group_plan(slim, seen.s or 0, bins)
     placed = pack_into(items, bins)
     large = spark.createDataFrame([(k, b) for (is_large, k), b in placed.items() if is_large], "group_key long, own int")
     small = spark.createDataFrame([(int(k), b) for (is_large, k), b in placed.items() if not is_large], "parcel int, parcel_bin int")
-    # both tables are bounded by GRAIN and PARCELS times the bins
-    put = (
-        slim.withColumn("parcel", F.pmod(F.hash("group_key", F.lit(3)), F.lit(parcels)))
-        .join(F.broadcast(large), "group_key", "left")
-        .join(F.broadcast(small), "parcel", "left")
-        .withColumn("shard", F.coalesce("own", "parcel_bin"))
-        .drop("own", "parcel_bin", "parcel")
-    )
-    return with_slots(put, max(1, -(-seen.n // SLOT_ROWS))).select(
-        "doc_id", *(extra or []), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
-    )
 
+    def put(table: DataFrame) -> DataFrame:
+        # both tables are bounded by GRAIN and PARCELS times the bins
+        named = table.withColumn("parcel", F.pmod(F.hash("group_key", F.lit(3)), F.lit(parcels)))
+        both = named.join(F.broadcast(large), "group_key", "left").join(F.broadcast(small), "parcel", "left")
+        return both.withColumn("shard", F.coalesce("own", "parcel_bin")).drop("own", "parcel_bin", "parcel")
+
+    # slots are counted over sizes alone; the rows themselves move once, when they are numbered
+    numbered = with_slots(put(rows), put(slim), max(1, -(-seen.n // SLOT_ROWS)))
+    return numbered.select("doc_id", *(extra or []), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
-def with_slots(put: DataFrame, ranges: int) -> DataFrame:
-    """Number the rows of each shard from 0 without gaps, by ranges that are counted first.
 
-    A range is a hash of the document's id and number within its group, so one hot group spreads
-    over all ranges of its shard.
+def with_slots(put: DataFrame, slim: DataFrame, ranges: int) -> DataFrame:
+    """Number the rows of each shard from 0 without gaps, by ranges that are counted first, over ``slim``.
+
+    A range is a hash of the document's id and checksum, so one hot group spreads over all ranges of
+    its shard.
     """
     spark = put.sparkSession
-    named = put.withColumn("slot_range", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(ranges)).cast("int"))
-    counts = sorted(named.groupBy("shard", "slot_range").count().collect())
+    named = lambda df: df.withColumn("slot_range", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(ranges)).cast("int"))
+    counts = sorted(named(slim).groupBy("shard", "slot_range").count().collect())
     starts, at = [], {}
     for shard, part, n in counts:  # shards times ranges: one small row per SLOT_ROWS documents
         starts.append((shard, part, at.get(shard, 0)))
@@ -177,10 +174,10 @@ def with_slots(put: DataFrame, ranges: int) -> DataFrame:
     first = spark.createDataFrame(starts, "shard int, slot_range int, first_slot long")
     order = "row_number() over (partition by shard, slot_range order by doc_id, text_crc32, size, group_key)"
     return (
-        named.withColumn("nth", F.expr(order))
+        named(put).withColumn("nth", F.expr(order))
         .join(F.broadcast(first) if len(starts) <= 100_000 else first, ["shard", "slot_range"])
         .withColumn("slot", (F.col("first_slot") + F.col("nth") - 1).cast("long"))
-    )
+    )
 
 
 def op5_best_fit_sharding(spark, sf_dir: str) -> DataFrame:
