@@ -22,7 +22,7 @@ DEBOUNCE_MS = 1500
 def overlay_events(batch: DataFrame, batch_id: int) -> DataFrame:
     """One event for each changed file of a batch."""
     keyed = batch.withColumn("file_id", ids.file_id(F.col("project_id"), F.col("path")))
-    last = latest(keyed.withColumn("seq", F.unix_micros("ts")), ["project_id", "file_id"])
+    last = latest(keyed.withColumn("seq", F.unix_micros(F.col("ts").cast("timestamp"))), ["project_id", "file_id"])
     op = F.when(F.col("op") == "delete", "deleted").otherwise("dirty")
     return last.select("project_id", "file_id", op.alias("op"), F.when(F.col("op") != "delete", F.col("content")).alias("content"), F.col("path").alias("rel_path"), "seq")
 
