@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.runtime import scratch, shared_dir, stage
 
-__all__ = ["documents", "scratch", "shared_dir", "ship", "small_batches", "stage", "words_in"]
+__all__ = ["bounded", "documents", "scratch", "shared_dir", "ship", "small_batches", "stage", "words_in"]
 
 #: What separates words of texts: ASCII white space.
 BETWEEN = r"[\x20\x09-\x0D]+"
@@ -28,6 +28,15 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+#: Rows of keys, of some 40 bytes each, that a broadcast may have.
+BROADCAST_ROWS = 500_000
+
+
+def bounded(table: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A staged table of keys, to be broadcast if counting shows that it has ``most`` rows or fewer; else joined by a shuffle."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table.hint("merge")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, scratch, stage
+from tessera.llm.common import bounded, documents, scratch, stage
 
 WINDOW = 10
 #: What separates the words of a lower-cased text; splitting costs a seventh of extracting matches.
@@ -146,7 +146,7 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
         _, found = matches(docs, items, window)
         dirty = stage(found.select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key")).distinct(), "contaminated", outer=True)
     same = docs["doc_id"].eqNullSafe(F.col("__doc")) & (F.xxhash64(docs["text"]) == F.col("__key"))
-    return docs.join(dirty, same, "left_anti")
+    return docs.join(bounded(dirty), same, "left_anti")
 
 
 def op1_positional_index(spark, sf_dir: str) -> DataFrame:

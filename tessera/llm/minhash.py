@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import rolling
-from tessera.llm.common import documents, scratch, ship, small_batches, stage
+from tessera.llm.common import bounded, documents, scratch, ship, small_batches, stage
 from tessera.llm.components import components
 
 SHINGLE = 5
@@ -51,8 +51,6 @@ LOOSE = 0.55
 #: Vertices so like a large node's pivot need not branch: a true neighbour of theirs has a distance of at
 #: most 0.25 + 0.05 from the pivot and is linked with it itself.
 STRONG = 0.95
-#: Cluster members up to this number are broadcast (some 60 bytes each) to find their texts; more are joined by a shuffle.
-BROADCAST_MEMBERS = 500_000
 
 U = rolling.U
 MULTIPLIERS = rolling.mix(np.arange(1, PATHS + SKETCH + 1, dtype=U) * U(rolling.BASE2)) | U(1)
@@ -296,7 +294,7 @@ def loose_links(reps: DataFrame) -> DataFrame:
         for depth in range(1, DEPTH + 1):
             sizes = stage(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("pivot")).where("n > 1"), "near-sizes")
             last = depth == DEPTH
-            large = sizes.where(F.col("n") > LEAF)
+            large = stage(sizes.where(F.col("n") > LEAF), "near-large")
             more = not large.isEmpty()
             # joins of growing tables never broadcast
             members = nodes.join((sizes if last else sizes.where(F.col("n") <= LEAF)).hint("merge"), "node")
@@ -323,7 +321,7 @@ def with_components(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
         sizes = stage(members.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("pivot")), "near-clusters")
         divided = not sizes.where(F.col("n") > BLOCK).isEmpty()
         known = members.join(sizes, "grp").select(F.col("one.doc_id").alias("m_doc"), F.col("one.text_key").alias("m_key"), "grp", "n", "pivot", F.col("rid").alias("member"), "sketch")
-        known = F.broadcast(known) if members.limit(BROADCAST_MEMBERS + 1).count() <= BROADCAST_MEMBERS else known
+        known = bounded(stage(known, "near-known"))
         texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
         same = F.col("doc_id").eqNullSafe(F.col("m_doc")) & (F.col("text_key") == F.col("m_key"))
         chosen = texts.join(known, same).select("grp", "n", "pivot", "member", "sketch", "text")
@@ -355,7 +353,7 @@ def kept_documents(docs: DataFrame, **options) -> DataFrame:
     gone = named.where("n_shingles > 0").join(first, F.col("component_id").eqNullSafe(F.col("c"))).select("doc_id", "text_key", F.struct("doc_id", "text_key").eqNullSafe(F.col("one")).alias("stays"))
     drop = stage(gone.where("not stays").select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key")).distinct(), "near-dropped")
     same = docs["doc_id"].eqNullSafe(F.col("__doc")) & (F.xxhash64(docs["text"]) == F.col("__key"))
-    left = docs.join(drop, same, "left_anti")
+    left = docs.join(bounded(drop), same, "left_anti")
     # equal rows of the one that stays: all but one go
     return left.dropDuplicates(["doc_id", "text"]) if docs.select("doc_id").groupBy("doc_id").count().where("count > 1").limit(1).count() else left
 
