@@ -363,4 +363,22 @@ def op7_chosen_path(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+OP7_SQL = r"""
+with recursive d as (
+  select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) as w from documents
+), sh as (
+  select distinct doc_id, array_to_string(list_slice(w, s, s + least(len(w), 5) - 1), ' ') as g
+  from d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as u(s) where len(w) > 0
+), n as (select doc_id, count(*) as n from sh group by 1),
+pairs as (select a.doc_id as x, b.doc_id as y, count(*) as c from sh a join sh b using (g) where a.doc_id < b.doc_id group by all),
+links as (
+  select x, y from pairs join n as p on p.doc_id = x join n as q on q.doc_id = y where 100 * c >= 75 * (p.n + q.n - c)
+), both_ways as (select x, y from links union all select y, x from links),
+reach as (select doc_id as v, doc_id as r from d union select y, r from reach join both_ways on x = v),
+least_of as (select v, min(r) as component_id from reach group by 1)
+select doc_id, coalesce(n.n, 0) as n_shingles, component_id, doc_id = component_id as kept
+from d join least_of on v = doc_id left join n using (doc_id)
+"""
+
+
 ship(__name__)

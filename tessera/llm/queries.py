@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from tessera.llm.decontaminate import OP1_SQL, op1_positional_index
 from tessera.llm.html import op8_consensus_html
-from tessera.llm.minhash import op7_chosen_path
+from tessera.llm.minhash import OP7_SQL, op7_chosen_path
 from tessera.llm.mixing import op10_hash_threshold_mix
 from tessera.llm.quality import op9_tokeniser_fertility
 from tessera.llm.secrets import op3_crf_secrets
 from tessera.llm.sharding import op5_best_fit_sharding
 from tessera.llm.substring import OP4_SQL, op4_rabin_karp_windows
-from tessera.llm.suffix import op6_interval_expansion
+from tessera.llm.suffix import OP6_SQL, op6_interval_expansion
 
 QUERIES = {
     "op1_positional_index": op1_positional_index,
@@ -27,4 +27,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op1_positional_index": OP1_SQL,
     "op4_rabin_karp_windows": OP4_SQL,
+    "op6_interval_expansion": OP6_SQL,
+    "op7_chosen_path": OP7_SQL,
 }
