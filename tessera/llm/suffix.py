@@ -490,22 +490,4 @@ def op6_interval_expansion(spark, sf_dir: str) -> DataFrame:
     return deduplicated(documents(spark, sf_dir)).drop("kept")
 
 
-OP6_SQL = r"""
-with h as (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
-win as (
-  select doc_id, i, md5(substr(x, 2 * i + 1, 800)) as g from h, unnest(range(0, cast(len(x) / 2 as bigint) - 399)) as u(i) where len(x) >= 800
-), again as (select doc_id, i from win where g in (select g from win group by g having count(*) > 1)),
-marked as (select doc_id, i, case when i - lag(i) over (partition by doc_id order by i) <= 400 then 0 else 1 end as fresh from again),
-grouped as (select doc_id, i, sum(fresh) over (partition by doc_id order by i) as k from marked),
-runs as (select doc_id, k, min(i) as a, max(i) + 400 as z from grouped group by all),
-lists as (select doc_id, list(a order by a) as a, list(z order by a) as z, sum(z - a) as gone from runs group by 1),
-kept as (
-  select doc_id, x, gone, len(a) as n, case when a is null then x else array_to_string(list_transform(range(1, len(a) + 2),
-    lambda k: substr(x, 2 * (case when k = 1 then 0 else z[k - 1] end) + 1, 2 * ((case when k > len(a) then cast(len(x) / 2 as bigint) else a[k] end) - (case when k = 1 then 0 else z[k - 1] end)))), '') end as y
-  from h left join lists using (doc_id)
-)
-select doc_id, cast(len(x) / 2 as bigint) as n_bytes, cast(coalesce(gone, 0) as bigint) as n_removed, cast(coalesce(n, 0) as bigint) as n_spans, sha256(unhex(y)) as kept_sha256 from kept
-"""
-
-
 ship(__name__)
