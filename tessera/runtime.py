@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import sys
 import tempfile
 import uuid
@@ -21,9 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only in local mode without a setting."""
     global _local
     conf = spark.sparkContext.getConf()
-    if found := conf.get("spark.checkpoint.dir", None):
+    if found := spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
-    if not conf.get("spark.master", "").startswith("local["):
+    if not re.match(r"local($|\[)", conf.get("spark.master", "")):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if _local is None:
         _local = tempfile.mkdtemp(prefix="tessera-")
