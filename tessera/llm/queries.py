@@ -11,9 +11,11 @@ from tessera.llm.secrets import op3_crf_secrets
 from tessera.llm.sharding import op5_best_fit_sharding
 from tessera.llm.substring import OP4_SQL, op4_rabin_karp_windows
 from tessera.llm.suffix import op6_interval_expansion
+from tessera.llm.warc import OP2_SQL, op2_merkle_fixity
 
 QUERIES = {
     "op1_positional_index": op1_positional_index,
+    "op2_merkle_fixity": op2_merkle_fixity,
     "op3_crf_secrets": op3_crf_secrets,
     "op4_rabin_karp_windows": op4_rabin_karp_windows,
     "op5_best_fit_sharding": op5_best_fit_sharding,
@@ -26,6 +28,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_positional_index": OP1_SQL,
+    "op2_merkle_fixity": OP2_SQL,
     "op4_rabin_karp_windows": OP4_SQL,
     "op7_chosen_path": OP7_SQL,
 }
