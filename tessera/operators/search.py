@@ -118,6 +118,22 @@ def hybrid(symbols: DataFrame, query: str, k: int = 20, query_vector: Column | N
     return best.withColumn("low_confidence", top < LOW_CONFIDENCE).drop("rrf")
 
 
+def embedding_key(model: str, dim: int, text: Column) -> Column:
+    return F.sha1(F.concat(F.lit(f"{model}|{dim}|"), F.coalesce(text, F.lit(""))))
+
+
+def embedded(symbols: DataFrame, cache: DataFrame, text: Column, embed, model: str = "hash", dim: int = 384) -> tuple[DataFrame, DataFrame]:
+    """Symbols with vectors, and the cache with those that it lacked; ``embed`` maps a text column to a vector.
+
+    Each different text is embedded once, and only if the cache lacks it.
+    """
+    keyed = symbols.withColumn("__text", text).withColumn("__key", embedding_key(model, dim, text))
+    missing = keyed.select(F.col("__key").alias("key"), "__text").dropDuplicates(["key"]).join(cache, "key", "left_anti")
+    full = cache.unionByName(missing.select("key", embed(F.col("__text")).cast("array<float>").alias("embedding")))
+    full = stage(full, "embeddings")
+    return keyed.drop("embedding").join(full.withColumnRenamed("key", "__key"), "__key", "left").drop("__key", "__text"), full
+
+
 def with_context(hits: DataFrame, in_community: DataFrame, communities: DataFrame, in_flow: DataFrame, most: int = 3) -> DataFrame:
     """Hits with their community label and up to ``most`` flows."""
     named = in_community.join(communities, F.col("dst_id") == F.col("id")).select(F.col("src_id").alias("id"), F.col("label").alias("community"))

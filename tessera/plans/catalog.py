@@ -195,8 +195,75 @@ def _(spark, d):
     return search.resolve_ids(padded, "Red Bolt").select(F.col("id").cast("bigint").alias("id"), "how")
 
 
+@query(
+    "sr_attach_context",
+    """select p_partkey as id, p_type as community, coalesce(n, 0) as flows from (select * from part order by p_partkey limit 500) left join
+    (select l_partkey, least(count(distinct l_suppkey), 3) as n from lineitem where l_quantity >= 45 group by 1) on l_partkey = p_partkey""",
+)
+def _(spark, d):
+    p, line = _t(spark, d, "part"), _t(spark, d, "lineitem").where("l_quantity >= 45")
+    hits = p.select(F.col("p_partkey").alias("id")).orderBy("id").limit(500)
+    kinds = p.select(F.col("p_type").alias("id"), F.col("p_type").alias("label")).distinct()
+    found = search.with_context(hits, p.select(F.col("p_partkey").alias("src_id"), F.col("p_type").alias("dst_id")), kinds, line.select(F.col("l_partkey").alias("src_id"), F.col("l_suppkey").alias("dst_id"), F.lit(1).alias("depth")))
+    return found.select("id", "community", F.coalesce(F.size("flows"), F.lit(0)).cast("bigint").alias("flows"))
+
+
+@query("sr_attach_snippet", "select conv_id, turn, case when l is not null and turn - 1 <= len(l) then array_to_string(l[greatest(turn - 1, 1):turn + 3], chr(10)) end as snippet from (select conv_id, turn, string_split(text, chr(10)) as l from conversations)")
+def _(spark, d):
+    c = _t(spark, d, "conversations").select("conv_id", "turn", "text", F.concat_ws(":", "conv_id", "turn").alias("file_id"))
+    hits = c.select("conv_id", "turn", "file_id", (F.col("turn") + 1).alias("line"))
+    return search.with_snippets(hits, c.select("file_id", F.col("text").alias("content"))).select("conv_id", "turn", "snippet")
+
+
+@query("sink_embed_cache", "select count(distinct p_name) as vectors, (select count(*) from part) as symbols, count(distinct p_name) filter (where p_partkey >= 50) as seen from part")
+def _(spark, d):
+    s = symbols(spark, d)
+    cached = s.where("id < 50").select(search.embedding_key("hash", 16, F.col("name")).alias("key")).distinct().withColumn("embedding", F.array_repeat(F.lit(0.5), 16).cast("array<float>"))
+    with_vectors, cache = search.embedded(s, cached, F.col("name"), lambda t: T.hash_vector(t, 16), "hash", 16)
+    counts = with_vectors.agg(F.count("embedding").alias("symbols"), F.count_distinct(F.when(F.col("id") >= 50, F.col("name"))).alias("seen"))
+    return cache.agg(F.count(F.lit(1)).alias("vectors")).crossJoin(counts)  # one row each
+
+
+@query("ag_overlay_summary", "select 'p' || (o_orderkey % 50) as project_id, count(*) filter (where o_orderstatus = 'P') as dirty_files, count(*) filter (where o_orderstatus = 'F') as deleted_files from orders group by 1")
+def _(spark, d):
+    o = _t(spark, d, "orders")
+    project = F.concat(F.lit("p"), F.col("o_orderkey") % 50).alias("project_id")
+    entry = F.map_from_entries(F.collect_list(F.when(F.col("o_orderstatus") == "P", F.struct(F.col("o_orderkey").cast("string"), F.lit(1)))))
+    documents = o.groupBy(project).agg(entry.alias("dirty_files"), F.collect_list(F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey"))).alias("deleted_files"))
+    return overlay.summary(documents)
+
+
 # graphs
 
+
+@query("gr_entry_methods", f"with {SYMBOLS_SQL} select id as node from symbols where name = 'main' or is_test")
+def _(spark, d):
+    return graph.entry_methods(symbols(spark, d))
+
+
+@query("gr_flow_lookup", f"with {SYMBOLS_SQL} select id as node from symbols where lower(name) = 'red bolt' or contains(lower(fqname), 'red bolt') order by id limit 10")
+def _(spark, d):
+    s = symbols(spark, d).withColumn("signature", F.col("fqname"))
+    return graph.flow_entries(s.withColumn("id", F.lpad(F.col("id").cast("string"), 12, "0")), "Red Bolt").select(F.col("node").cast("bigint").alias("node"))
+
+
+@query("gr_method_meta", "select p_partkey as node, p_name as name, p_brand || '#' || p_name || '()' as fqname, n_name as file_path from part join nation on n_nationkey = cast(replace(p_brand, 'Brand#', '') as int)")
+def _(spark, d):
+    p, n = _t(spark, d, "part"), _t(spark, d, "nation")
+    methods = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.concat("p_name", F.lit("()")).alias("signature"), F.col("p_brand").alias("class_id"))
+    classes = p.select(F.col("p_brand").alias("id"), F.col("p_brand").alias("fqcn"), F.replace("p_brand", F.lit("Brand#"), F.lit("")).cast("int").alias("file_id")).distinct()
+    files = n.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("path"), F.lit("x").alias("project_id"))
+    found = graph.with_method_meta(methods.select(F.col("id").alias("node")), methods, classes, files)
+    return found.where("name is not null").select("node", "name", "fqname", "file_path")
+
+
+@query("gr_symbol_community", "select p_partkey as symbol_id, p_name as name, p_type as label from part where lower(p_name) = 'red bolt' order by p_partkey limit 20")
+def _(spark, d):
+    s = symbols(spark, d).withColumn("id", F.lpad(F.col("id").cast("string"), 12, "0"))
+    found = _t(spark, d, "part").select(F.lpad(F.col("p_partkey").cast("string"), 12, "0").alias("symbol_id"), F.col("p_type").alias("label"))
+    return community.symbol_community(found, s, "Red Bolt").select(F.col("symbol_id").cast("bigint").alias("symbol_id"), "name", "label")
+
+
 WALK_SQL = """, walk as (
   select id as node, 0 as depth from (select p_partkey as id from part where p_partkey < 20)
   union select {to}, w.depth + 1 from walk w join edges e on e.{at} = w.node where w.depth < {most})"""

@@ -31,10 +31,15 @@ class Engine:
         return out
 
     def plan(self, files: DataFrame, full: bool = False) -> DataFrame:
-        stored = self.store.table("file").select(F.col("id").alias("file_id"), F.lit(None).cast("timestamp").alias("mtime"), F.lit(None).cast("bigint").alias("size"), F.col("hash").alias("cached_hash"), "hash")
+        state = self.store.table("file_state")
+        stored = self.store.table("file").select(F.col("id").alias("file_id"), "hash").join(state, "file_id", "left")
         current = files.select(ids.file_id(F.col("project_id"), F.col("rel_path")).alias("file_id"), "mtime", "size", F.sha1("content").alias("digest"))
         return versions.plan(current, stored, full)
 
+    def file_state(self, files: DataFrame) -> DataFrame:
+        """What the next plan compares without hashing."""
+        return files.select(ids.file_id(F.col("project_id"), F.col("rel_path")).alias("file_id"), "mtime", "size", F.sha1("content").alias("cached_hash"))
+
     def analyse(self, root: str, full: bool = False, embed: bool = False, deep: bool = True, **options) -> dict[str, int]:
         """Index a workspace and publish it; counts of what was done. Nothing is written if nothing changed.
 
@@ -48,14 +53,15 @@ class Engine:
         if not indexed and not out["files_deleted"]:
             return out
         tables = ingest.index(files, **options)
-        symbols = tables["symbol"]
+        symbols, caches = tables["symbol"], {"file_state": self.file_state(files)}
         if embed:
-            symbols = symbols.withColumn("embedding", hash_vector(F.col("text"), schema.VECTOR_DIM).cast("array<float>"))
+            vector = lambda text: hash_vector(text, schema.VECTOR_DIM)
+            symbols, caches["embedding_cache"] = search.embedded(symbols, self.store.table("embedding_cache"), F.col("text"), vector, "hash", schema.VECTOR_DIM)
         projects = [(p, m, "java", git.head(m)) for m, p in workspace.project_ids(root)]
         project = self.spark.createDataFrame(projects, "id string, path string, language string, indexed_commit string").withColumn("indexed_at", F.current_timestamp()).withColumn("overlay_dirty", F.lit(False))
         cross = resolve.cross_module(tables["method"], tables["class"].select("id", "name", "project_id"))
         calls = tables["calls"].unionByName(cross)
-        self.store.commit({"project": project, **tables, "symbol": symbols, "calls": calls})
+        self.store.commit({"project": project, **tables, **caches, "symbol": symbols, "calls": calls})
         if deep:
             self.deep(root)
         return out | {name: self.store.table(name).count() for name in ("class", "method", "symbol", "calls", "implements", "overrides")}
@@ -203,6 +209,40 @@ class Engine:
         calls = dirty.select(F.explode("calls").alias("c")).select(F.col("c.src").alias("src_id"), F.col("c.dst").alias("dst_id"), "c.confidence", "c.reason")
         return {"symbol": versions.overlaid(t["symbol"], added, hidden), "calls": versions.overlaid_edges(t["calls"], calls, hidden_methods)}
 
+    def promote(self, root: str, overlay_path: str | None = None, require_head_change: bool = True) -> dict[str, int] | None:
+        """Fold uncommitted edits into the index once the head has moved; None if there is nothing to do.
+
+        Indexing and clearing repeat without harm, so a promotion that failed half-way is run again.
+        """
+        now = git.head(root)
+        known = {r.indexed_commit for r in self.store.table("project").select("indexed_commit").collect()}
+        if now is None or require_head_change and known == {now}:
+            return None
+        done = self.analyse(root)
+        projects = self.store.table("project")
+        clean = projects.withColumn("indexed_commit", F.lit(now)).withColumn("indexed_at", F.current_timestamp()).withColumn("overlay_dirty", F.lit(False))
+        self.store.commit({"project": clean})
+        if overlay_path is not None:
+            self.clear_overlay(overlay_path)
+        return done
+
+    def clear_overlay(self, overlay_path: str, project: str | None = None) -> None:
+        """Drop a project's overlay document (all without a project) and the dirty mark."""
+        overlay.clear(self.spark, overlay_path, project)
+        projects = self.store.table("project")
+        hit = F.lit(True) if project is None else F.col("id") == project
+        self.store.commit({"project": projects.withColumn("overlay_dirty", F.when(hit, False).otherwise(F.col("overlay_dirty")))})
+
+    def infer_project(self, path: str) -> str | None:
+        """Project whose folder is the longest prefix of a path."""
+        rows = self.store.table("project").select("id", "path").collect()
+        found = [(len(r.path), r.id) for r in rows if path == r.path or path.startswith(r.path.rstrip("/") + "/")]
+        return max(found)[1] if found else None
+
+    def status(self, now: Column | None = None) -> DataFrame:
+        """Age of each project and a warning when it is stale."""
+        return versions.staleness(self.store.table("project"), now if now is not None else F.current_timestamp())
+
     def overlay_status(self, documents: DataFrame) -> DataFrame:
         heads = documents.select("project_id", F.col("current_head").alias("head"))
         return versions.overlay_status(overlay.summary(documents), self.store.table("project"), heads)

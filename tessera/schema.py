@@ -24,9 +24,12 @@ DDL = {
     "in_community": "src_id string, dst_id string",
     "in_flow": "src_id string, dst_id string, depth bigint",
     "co_changed_with": "src_id string, dst_id string, strength double, cochanges bigint, months bigint",
+    "file_state": "file_id string, mtime timestamp, size bigint, cached_hash string",
+    "embedding_cache": "key string, embedding array<float>",
 }
 NODES = ("project", "file", "class", "method", "symbol", "community", "flow")
-EDGES = tuple(t for t in DDL if t not in NODES and t != "schema_meta")
+CACHES = ("schema_meta", "file_state", "embedding_cache")
+EDGES = tuple(t for t in DDL if t not in NODES and t not in CACHES)
 
 
 def empty(spark: SparkSession, table: str) -> DataFrame:

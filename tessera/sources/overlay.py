@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.ids import sha1_text
 from tessera.operators.versions import latest
 
 DOCUMENT = """project_id string, project_path string, repo_root string, base_commit string, current_head string,
@@ -43,3 +44,25 @@ def state(events: DataFrame) -> DataFrame:
     cleared = events.where("op = 'clear'").groupBy("project_id").agg(F.max("seq").alias("cleared"))
     live = events.where("op <> 'clear'").join(cleared, "project_id", "left").where("cleared is null or seq > cleared").drop("cleared")
     return latest(live, ["project_id", "file_id"])
+
+
+def write_document(spark: SparkSession, path: str, project_id: str, document: str) -> None:
+    """Replace a project's document: written beside it first, so a reader never sees half of one."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{sha1_text(project_id)}.json")
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    beside = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_{sha1_text(project_id)}.tmp")
+    out = fs.create(beside, True)
+    out.write(bytearray(document.encode()))
+    out.close()
+    fs.delete(target, False)
+    fs.rename(beside, target)
+
+
+def clear(spark: SparkSession, path: str, project_id: str | None = None) -> None:
+    """Remove a project's document, or all of them."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.listStatus(base) if fs.exists(base) else []:
+        name = status.getPath().getName()
+        if name.endswith(".json") and (project_id is None or name == f"{sha1_text(project_id)}.json"):
+            fs.delete(status.getPath(), False)

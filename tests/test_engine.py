@@ -125,6 +125,8 @@ def test_patterns(engine):
     assert dead == 8 - 2
     both = engine.match("MATCH (c:Class {name: 'Service'})-[:HAS_METHOD]->(m:Method) OPTIONAL MATCH (m)-[:CALLS]->(t:Method) RETURN m.name AS m, t.name AS t ORDER BY m").collect()
     assert [(r.m, r.t) for r in both] == [("helper", None), ("processPayment", "helper"), ("run", None), ("unusedHelper", None)]
+    first = engine.match("MATCH (m:Method) WITH m ORDER BY m.name, m.id LIMIT 2 RETURN m.name AS n").collect()
+    assert [r.n for r in first] == ["helper", "lonely"]
     with pytest.raises(ValueError, match="not supported"):
         to_sql("MATCH (m:Method) DELETE m")
 
@@ -194,3 +196,37 @@ def test_plan(spark):
     stored = spark.createDataFrame([("a", 1, 10, "x", "x"), ("b", 1, 10, "y", "y"), ("c", 1, 1, "q", "q"), ("e", 1, 1, "q", "q")], "file_id string, mtime long, size long, cached_hash string, hash string")
     assert {r.file_id: r.action for r in versions.plan(current, stored).collect()} == {"a": "unchanged", "b": "touched", "c": "changed", "d": "added", "e": "deleted"}
     assert {r.file_id: r.action for r in versions.plan(current, stored, True).collect()}["a"] == "changed"
+
+
+def test_cli_promotion_and_cache(spark, workspace, tmp_path, capsys):
+    import shutil
+    import subprocess
+
+    from tessera.cli import main
+
+    root = tmp_path / "shop"
+    shutil.copytree(workspace, root)
+    run = lambda *a: subprocess.run(["git", "-C", str(root), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True)
+    run("init")
+    run("add", "-A")
+    run("commit", "-m", "one")
+    e = Engine(spark, str(tmp_path / "index"))
+    main(["analyse", str(root), "--embed"], e)
+    assert json.loads(capsys.readouterr().out)["files_indexed"] == 4
+    cached = e.store.table("embedding_cache").count()
+    assert cached == e.store.table("symbol").count() == 12
+    states = e.plan(e.source_files(str(root))).groupBy("action").count().collect()
+    assert [(r.action, r["count"]) for r in states] == [("unchanged", 4)]
+    assert e.infer_project(str(root / "src/x.java")) == "shop" and e.infer_project("/elsewhere") is None
+    assert e.promote(str(root)) is None
+    overlay.write_document(spark, str(tmp_path / "o"), "shop", json.dumps({"project_id": "shop", "project_path": str(root), "current_head": "x", "deleted_files": ["a"]}))
+    assert e.overlay_status(overlay.read_documents(spark, str(tmp_path / "o"))).first().promotion_pending
+    (root / "src/main/java/com/example/Base.java").write_text(BASE.replace("lonely", "lonesome"))
+    run("commit", "-am", "two")
+    assert e.promote(str(root), str(tmp_path / "o"))["files_indexed"] == 1
+    assert e.promote(str(root)) is None and not list((tmp_path / "o").glob("*.json"))
+    main(["match", "MATCH (m:Method) WHERE m.name STARTS WITH 'lone' RETURN m.name AS n"], e)
+    main(["deadcode"], e)
+    lines = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    assert lines[0] == {"n": "lonesome"} and lines[1]["name"] == "lonesome"
+    assert e.status().first().warning is None
