@@ -6,11 +6,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Everything but ASCII letters and digits. Written as ranges: Java matches a negated class some twenty times slower.
+OTHER = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x{10FFFF}]+"
+#: Between tokens: others, case changes, acronyms' ends, and digits' edges.
+BETWEEN = OTHER + "|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])"
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased parts of identifiers: split at underscores, case changes, acronyms and digits."""
-    runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[A-Za-z0-9]+"), F.lit(0))
-    cut = "(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|(?<=[^0-9])(?=[0-9])|(?<=[0-9])(?=[^0-9])"
-    return F.transform(F.flatten(F.transform(runs, lambda r: F.split(r, cut))), F.lower)
+    # lower-casing the joined parts once is cheaper than each of them
+    parts = F.array_remove(F.split(F.coalesce(text, F.lit("")), BETWEEN), "")
+    return F.array_remove(F.split(F.lower(F.array_join(parts, " ")), " "), "")
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -29,8 +40,8 @@ def hash_vector(text: Column, dim: int) -> Column:
     zero = F.array_repeat(F.lit(0.0), dim)
     # each word changes one place of the running vector
     total = F.aggregate(hits, zero, lambda acc, h: F.transform(acc, lambda v, i: F.when(i == h["i"], v + h["s"]).otherwise(v)))
-    norm = F.sqrt(F.aggregate(total, F.lit(0.0), lambda s, v: s + v * v))
-    return F.transform(total, lambda v: F.when(norm > 0, v / norm).otherwise(v))
+    norm = lambda t: F.sqrt(F.aggregate(t, F.lit(0.0), lambda s, v: s + v * v))
+    return let(total, lambda t: let(norm(t), lambda n: F.transform(t, lambda v: F.when(n > 0, v / n).otherwise(v))))
 
 
 def cosine(a: Column, b: Column) -> Column:
