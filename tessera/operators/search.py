@@ -28,8 +28,8 @@ def _is(term: str):
 def bm25(docs: DataFrame, text: Column, query: str, key: str = "id") -> DataFrame:
     """key, score for every document; 0 where nothing matches, no row at all for a query without tokens.
 
-    Only the query's terms are counted: the documents are scanned once, and nothing but one row of
-    term counts for each leaves a task.
+    Only the query's terms are counted: the documents are scanned once, and what is kept of each is a
+    row of term counts, written because both totals and scores need it.
     """
     spark = docs.sparkSession
     words = [r.t for r in spark.range(1).select(F.explode(T.tokens(F.lit(query))).alias("t")).collect()]
@@ -37,7 +37,7 @@ def bm25(docs: DataFrame, text: Column, query: str, key: str = "id") -> DataFram
         return spark.createDataFrame([], docs.select(key).schema.add("score", "double"))
     terms = sorted(set(words))
     ts = docs.select(key, T.tokens(text).alias("ts"))
-    counted = ts.select(key, F.size("ts").alias("dl"), *[F.size(F.filter("ts", _is(t))).alias(f"tf{i}") for i, t in enumerate(terms)])
+    counted = stage(ts.select(key, F.size("ts").alias("dl"), *[F.size(F.filter("ts", _is(t))).alias(f"tf{i}") for i, t in enumerate(terms)]), "term-counts")
     totals = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     joined = counted.crossJoin(F.broadcast(totals))  # one row
     score = F.lit(0.0)
