@@ -28,7 +28,7 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-#: Rows of keys, of some 40 bytes each, that a broadcast may have.
+#: Rows of keys, of some 100 bytes each, that a broadcast may have.
 BROADCAST_ROWS = 500_000
 
 

@@ -317,21 +317,22 @@ def with_components(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
         reps = rows.where("rid is not null").groupBy("rid").agg(F.min(F.struct("doc_id", "text_key")).alias("one"), F.min("paths").alias("paths"), F.min("sketch").alias("sketch"))
         reps = stage(reps.withColumn("v", F.xxhash64("rid")), "near-sets")
         clusters = components(loose_links(reps.select("v", "paths", "sketch")))
-        members = stage(clusters.join(reps.hint("merge"), "v").select("rid", F.col("label").alias("grp"), "one", "sketch"), "near-members")
+        members = stage(clusters.join(reps.hint("merge"), "v").select("rid", F.col("label").alias("grp"), "one"), "near-members")
         sizes = stage(members.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("pivot")), "near-clusters")
         divided = not sizes.where(F.col("n") > BLOCK).isEmpty()
-        known = members.join(sizes, "grp").select(F.col("one.doc_id").alias("m_doc"), F.col("one.text_key").alias("m_key"), "grp", "n", "pivot", F.col("rid").alias("member"), "sketch")
+        known = members.join(sizes, "grp").select(F.col("one.doc_id").alias("m_doc"), F.col("one.text_key").alias("m_key"), "grp", "n", "pivot", F.col("rid").alias("member"))
         known = bounded(stage(known, "near-known"))
         texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
         same = F.col("doc_id").eqNullSafe(F.col("m_doc")) & (F.col("text_key") == F.col("m_key"))
-        chosen = texts.join(known, same).select("grp", "n", "pivot", "member", "sketch", "text")
+        chosen = texts.join(known, same).select("grp", "n", "pivot", "member", "text")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 sets = shingle_sets([t.as_py().encode("utf-8", "surrogatepass") for t in batch.column("text")], size)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array([s.tobytes() for s in sets], pa.binary())], names=[*kept, "values"])
+                signs = [minwise(s)[PATHS:].astype(np.uint8).tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(signs, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=[*kept, "sketch", "values"])
 
-        kept = ["grp", "n", "pivot", "member", "sketch"]
+        kept = ["grp", "n", "pivot", "member"]
         links = forest(chosen.mapInArrow(run, "grp long, n long, pivot binary, member binary, sketch binary, values binary"), True, divided, BLOCK, threshold)
         # links of an undivided cluster lead to its components' first members, so they name components already
         labels = components(links) if divided else links.select("v", F.col("u").alias("label"))

@@ -33,7 +33,7 @@ from tessera.llm.common import documents, ship, small_batches, stage
 
 WINDOW = 20
 #: Bytes of text in a task's chunk, in a bucket's share and in a block of documents.
-CHUNK, PER_BUCKET, PER_BLOCK = 12 << 20, 12 << 20, 8 << 20
+CHUNK, PER_BUCKET, PER_BLOCK = 6 << 20, 8 << 20, 8 << 20
 NO_ID = np.iinfo(np.int64).max
 
 MESSAGE = "place long, kind int, doc_ids binary, crcs binary, counts binary, data binary"
