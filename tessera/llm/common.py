@@ -45,3 +45,5 @@ def words_in(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.size(F.array_remove(F.split(text, BETWEEN), "")), F.lit(0)).cast("long")
 
+
+ship(__name__)

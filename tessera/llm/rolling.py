@@ -29,7 +29,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 BYTES = mix(np.arange(1, 257, dtype=U) * U(BASE))
 IS_SPACE = np.isin(np.arange(256), np.frombuffer(SPACES, np.uint8))
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+class Powers(dict):
+    """Powers by base; it travels to executors empty."""
+
+    def __reduce__(self):
+        return Powers, ()
+
+
+_powers = Powers()
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
