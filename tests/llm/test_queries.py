@@ -333,6 +333,22 @@ def test_op9_bands():
     assert quality.measure(long, "en", segmenter)[0] == 40_000
 
 
+def test_op9_bands_reject_junk():
+    """Of labelled documents that pass the base rule, most junk and hardly any good ones are out of band."""
+    import pyarrow.parquet as pq
+
+    read = lambda table: pq.read_table(f"/root/testdata/sf0.01/{table}.parquet").to_pylist()
+    quality_of = {r["doc_id"]: r["quality"] for r in read("labels")}
+    segmenter = quality.Segmenter(open(quality.VOCABULARY, "rb").read())
+    seen = collections.Counter()
+    for r in read("documents"):
+        if r["doc_id"] in quality_of:
+            *_, base_failed, _, _, _, keep = quality.measure(r["text"], r["lang"], segmenter)
+            if not base_failed:
+                seen[quality_of[r["doc_id"]], keep] += 1
+    assert seen[0, False] > seen[0, True] and seen[1, False] < 0.02 * seen[1, True], seen
+
+
 def test_op10(spark, folder):
     rows = QUERIES["op10_hash_threshold_mix"](spark, folder).collect()
     again = QUERIES["op10_hash_threshold_mix"](spark, folder).collect()
