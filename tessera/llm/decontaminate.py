@@ -70,11 +70,11 @@ def term_counts(index: DataFrame, vocabulary: DataFrame) -> DataFrame:
 def anchored(windows: DataFrame, counts: DataFrame) -> DataFrame:
     """anchor, item, at, len, rest: windows all of whose terms occur, by rarest term.
 
-    ``at`` is the anchor's offset in the window; ``rest`` has the other terms with their offsets from
+    A window is told apart by its terms, as rows of one item may differ in text. ``at`` is the anchor's offset in the window; ``rest`` has the other terms with their offsets from
     the anchor, rarest first. Ties go to the smaller offset.
     """
-    each = windows.select("item", "start", F.size("terms").alias("len"), F.posexplode("terms").alias("offset", "term"))
-    known = each.join(counts, "term").groupBy("item", "start", "len")
+    each = windows.select("item", "terms", F.size("terms").alias("len"), F.posexplode("terms").alias("offset", "term"))
+    known = each.join(counts, "term").groupBy("item", "terms", "len")
     ordered = known.agg(F.array_sort(F.collect_set(F.struct("n", "offset", "term"))).alias("by_count")).where(F.size("by_count") == F.col("len"))
     first = F.element_at("by_count", 1)
     rest = F.transform(F.slice("by_count", 2, F.col("len")), lambda x: F.struct((x["offset"] - first["offset"]).alias("shift"), x["term"].alias("term")))

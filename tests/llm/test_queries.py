@@ -96,6 +96,20 @@ def test_op1(spark, folder):
     assert got == sorted(want, key=str) and sum(w[5] for w in want) > 3
 
 
+def test_op1_rows_of_one_item(spark):
+    """Long texts under one id, and under null, are each matched; no window mixes their terms."""
+    from tessera.llm import decontaminate as d
+
+    text = lambda x, n=14: " ".join(f"{x}{i}" for i in range(n))
+    mixed = " ".join(f"{'ab'[i % 2]}{i}" for i in range(14))
+    texts = [text("a"), text("b"), text("c"), text("e"), mixed, "unrelated words"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[3])], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in d.report(docs, items).collect()}
+    assert got == {0: (14, ["1"]), 1: (14, ["1"]), 2: (14, ["null"]), 3: (14, ["null"]), 4: (0, []), 5: (0, [])}
+    assert {r.doc_id for r in d.clean(docs, items).collect()} == {4, 5}
+
+
 def test_op1_proximity(spark, folder):
     from tessera.llm import decontaminate as d
     from tessera.runtime import stage
