@@ -30,7 +30,7 @@ BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Anchor terms that are looked for in one pass over the index; their windows are broadcast with them.
 BLOCK = 20_000
-#: Proximity: so many of a window's different terms within so many words around the rarest one.
+#: Proximity: so many of a window's different terms within so many words around one of them.
 NEAR_TERMS, NEAR_REACH = 8, 15
 
 
@@ -105,23 +105,64 @@ def phrase_matches(index: DataFrame, anchors: DataFrame, window: int = WINDOW) -
     return reduce(DataFrame.unionByName, parts)
 
 
+def near_anchored(windows: DataFrame, counts: DataFrame, need: int = NEAR_TERMS) -> DataFrame:
+    """anchor, item, at, len, rest: windows of which ``need`` different terms occur, by each of their rarest terms.
+
+    So many of the rarest are anchors that any ``need`` of a window's terms include one of them. Shifts are unused.
+    """
+    each = windows.select("item", "terms").distinct().withColumn("term", F.explode(F.array_distinct("terms")))
+    known = each.join(counts, "term").groupBy("item", "terms").agg(F.array_sort(F.collect_list(F.struct("n", "term"))).alias("by_count"))
+    anchors = F.explode(F.slice("by_count", F.lit(1), F.size("by_count") - need + 1)).alias("first")
+    each = known.where(F.size("by_count") >= need).select("item", F.size("terms").alias("len"), "by_count", anchors)
+    others = F.filter("by_count", lambda x: x["term"] != F.col("first.term"))
+    rest = F.transform(others, lambda x: F.struct(F.lit(0).alias("shift"), x["term"].alias("term")))
+    return each.select(F.col("first.term").alias("anchor"), "item", F.lit(0).alias("at"), "len", rest.alias("rest"))
+
+
 def proximity_matches(index: DataFrame, anchors: DataFrame, need: int = NEAR_TERMS, reach: int = NEAR_REACH) -> DataFrame:
-    """doc_id, text_key, item, pos: anchors with at least ``need`` different terms of their window within ``reach`` words."""
-    shared = F.size(F.array_intersect("around", F.concat(F.array("anchor"), F.transform("rest", lambda r: r["term"]))))
-    parts = [candidates(index, b, reach).where((F.col("len") >= need) & (shared >= need)).select("doc_id", "text_key", "item", "pos") for b in in_blocks(anchors, "anchor")]
+    """doc_id, text_key, item, pos: anchors that take part in a match, which is an occurrence of any term
+    of a window with at least ``need`` different terms of that window within ``reach`` words of it."""
+    own = F.concat(F.array("anchor"), F.transform("rest", lambda r: r["term"]))
+    shared = lambda words: F.size(F.array_intersect(words, own))
+    here = (F.col("pos") - F.col("low")).cast("int")
+    around = lambda c: F.slice("around", F.greatest(c - reach, F.lit(0)) + 1, F.least(c, F.lit(reach)) + reach + 1)
+    centres = F.sequence(F.greatest(here - reach, F.lit(0)), F.least(here + reach, F.size("around") - 1))
+    close = F.exists(centres, lambda c: F.array_contains(own, F.get("around", c)) & (shared(around(c)) >= need))
+    parts = [candidates(index, b, 2 * reach).where(shared(F.col("around")) >= need).where(close).select("doc_id", "text_key", "item", "pos") for b in in_blocks(anchors, "anchor")]
     return reduce(DataFrame.unionByName, parts)
 
 
+def test_terms(index: DataFrame, items: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """The windows of a test set, and how often each of their terms occurs."""
+    windows = stage(test_windows(items, window), "test-windows")
+    vocabulary = stage(windows.select(F.explode("terms").alias("term")).distinct(), "test-terms")
+    return windows, stage(term_counts(index, vocabulary), "test-term-counts")
+
+
 def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """The index, and its exact matches with a test set."""
     index = build_index(docs)
-    windows = stage(test_windows(items, window), "test-windows")
-    vocabulary = stage(windows.select(F.explode("terms").alias("term")).distinct(), "test-terms")
-    counts = stage(term_counts(index, vocabulary), "test-term-counts")
-    anchors = stage(anchored(windows, counts), "test-anchors")
+    anchors = stage(anchored(*test_terms(index, items, window)), "test-anchors")
     return index, phrase_matches(index, anchors, window)
 
 
+def near_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """The index, and its proximity matches with a test set."""
+    index = build_index(docs)
+    anchors = stage(near_anchored(*test_terms(index, items, window)), "test-near-anchors")
+    return index, proximity_matches(index, anchors)
+
+
+def near_report(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, n_words, items (sorted strings with a proximity match) for every row, staged."""
+    with scratch():
+        index, found = near_matches(docs, items, window)
+        hits = found.groupBy(F.col("doc_id").alias("h_doc"), F.col("text_key").alias("h_key")).agg(F.array_sort(F.collect_set("item")).alias("items"))
+        same = F.col("doc_id").eqNullSafe(F.col("h_doc")) & (F.col("text_key") == F.col("h_key"))
+        rows = index.select("doc_id", "text_key", "n_words").join(hits, same, "left")
+        return stage(rows.select("doc_id", "n_words", F.coalesce("items", F.array().cast("array<string>")).alias("items")), "near", outer=True)
+
+
 def report(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, text_key, n_words, n_hit, items (sorted strings) for every row, staged; the index is dropped."""
     with scratch():
@@ -161,6 +202,12 @@ def op1_positional_index(spark, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_positional_index_near(spark, sf_dir: str) -> DataFrame:
+    found = near_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    n = F.size("items").cast("long").alias("n_near_items")
+    return found.select("doc_id", "n_words", n, F.sha2(F.array_join("items", ","), 256).alias("near_items_sha256"), (F.size("items") > 0).alias("near"))
+
+
 OP1_SQL = r"""
 with item as (
   select coalesce(cast(item_id as varchar), 'null') as item,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm.decontaminate import OP1_SQL, op1_positional_index
+from tessera.llm.decontaminate import OP1_SQL, op1_positional_index, op1_positional_index_near
 from tessera.llm.html import op8_consensus_html
 from tessera.llm.minhash import OP7_SQL, op7_chosen_path
 from tessera.llm.mixing import op10_hash_threshold_mix
@@ -15,6 +15,7 @@ from tessera.llm.warc import OP2_SQL, op2_merkle_fixity
 
 QUERIES = {
     "op1_positional_index": op1_positional_index,
+    "op1_positional_index_near": op1_positional_index_near,
     "op2_merkle_fixity": op2_merkle_fixity,
     "op3_crf_secrets": op3_crf_secrets,
     "op4_rabin_karp_windows": op4_rabin_karp_windows,

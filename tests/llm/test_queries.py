@@ -124,6 +124,35 @@ def test_op1_proximity(spark, folder):
     assert {r.doc_id for r in d.proximity_matches(index, anchors).collect()} == {1}
 
 
+def test_op1_near(spark, tmp_path):
+    """Proximity matches against brute force: replaced and absent words, other orders, wide gaps, repeated terms."""
+    from tessera.llm import decontaminate as d
+
+    rng = random.Random(11)
+    word = lambda: f"w{int(40 * rng.random() ** 2)}"
+    items = [(i, " ".join(word() for _ in range(rng.choice([6, 10, 14])))) for i in range(12)]
+    items += [(1, "k0 k1 k2 k3 k4 k5 k6 k7 k8 k9"), (None, "m0 m1 m2 m3 m4 m5 m6 m7 m8 nowhere")]
+    texts = [" ".join(word() for _ in range(rng.choice([5, 40, 120]))) for _ in range(60)]
+    texts += ["x k0 k1 k2 k3 other k5 k6 k7 k8 k9 y", "m8 m7 m6 m5 m4 m3 m2 m1", "m0 m1 m2 m3 m4 m5 m6", "k4 " + "z " * 40 + "k4", None, ""]
+    texts.append(" ".join(f"k{i} z z z z" for i in range(8)))
+    found = []
+    for t in texts:
+        w, hit = (t or "").split(), set()
+        for item, text in items:
+            v = text.split()
+            for s in range(max(1, len(v) - 9)):
+                own = set(v[s : s + 10])
+                if any(w[c] in own and len(own & set(w[max(0, c - 15) : c + 16])) >= 8 for c in range(len(w))):
+                    hit.add("null" if item is None else str(item))
+        found.append(sorted(hit))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: (r.n_near_items, r.near_items_sha256) for r in QUERIES["op1_positional_index_near"](spark, str(tmp_path)).collect()}
+    assert got == {i: (len(x), hashlib.sha256(",".join(x).encode()).hexdigest()) for i, x in enumerate(found)}
+    assert found[60] == ["1"] and found[61] == ["null"] and not found[62] and 5 < sum(map(bool, found)) < len(texts) - 5
+
+
 def spans_of(text):
     found = []
     for kind, number, pattern, fits in (("assign", 0, secrets.ASSIGN, lambda m: len(m[2]) >= 6), ("access", 1, secrets.ACCESS, lambda m: len(m[0]) >= 20), ("hex", 2, re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 24)):
