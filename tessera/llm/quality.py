@@ -77,8 +77,8 @@ class Segmenter:
 
 
 def script_of(text: str) -> str:
-    """Main script of up to 2,000 evenly spread characters; ``other`` without letters."""
-    codes = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")[:: max(1, len(text) // 2000)]
+    """Main script of all characters; ``other`` without letters."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
     counts = {
         "latin": int(((codes >= 0x41) & (codes < 0x250)).sum()),
         "cyrillic": int(((codes >= 0x400) & (codes < 0x530)).sum()),

@@ -376,6 +376,12 @@ def test_op9_bands():
     assert quality.measure(long, "en", segmenter)[0] == 40_000
 
 
+def test_op9_script_of_whole_text():
+    """A script that fills only every second character of a long text doesn't decide it."""
+    assert quality.script_of("я" + "ab" * 2000) == "latin"
+    assert quality.script_of("яa" * 2000 + "abc") == "latin"
+
+
 def test_op9_bands_reject_junk():
     """Of labelled documents that pass the base rule, most junk and hardly any good ones are out of band."""
     import pyarrow.parquet as pq
