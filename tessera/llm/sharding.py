@@ -1,23 +1,30 @@
 """Sharding by best-fit-decreasing bin packing.
 
 Indivisible groups, sorted by size, enter the bin with the tightest remaining capacity, which a
-balanced tree finds. Sizes come from one aggregation in Spark. Groups of at least 1/GRAIN of a mean
-bin are packed one by one; there are GRAIN times the bins of them at most, so the driver's list is
-bounded. Smaller groups are packed as parcels: PARCELS per bin, dealt by a hash of the group's key,
-so that a parcel is far smaller than a bin and no list grows with the corpus.
+balanced tree finds. Every group passes through it, however many there are: Spark counts groups by
+size, and the packer places runs of equal sizes, each as its members one by one would go. A run goes
+into the tightest bin that holds its size until that holds no more, then into the next. Sizes are
+compared to BITS leading bits, rounded up, so that their number, and the plan's, is bounded at any
+input size. Members of a size are then numbered by counted ranges and take their bins in that order.
+
+Cases: a null text counts as an empty one; rows of equal text form one group and share a shard;
+equal rows get different slots; very long texts are groups like others, and one over the mean of a
+bin gets a bin of its own; ids may be null or repeated; other columns are ignored, or kept where
+asked for, whatever their names; an empty table gives an empty result. A 64-bit hash names a group:
+two texts that share one share a shard, which breaks nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stage
+from tessera.llm.common import bounded, stage
 
-GRAIN = 1024
-PARCELS = 512
-#: Rows that one slot range numbers at most, about.
-SLOT_ROWS = 20_000
+#: Leading bits of a size that count: below 2**BITS sizes are exact, above they differ by 1/2**(BITS - 1) at most.
+BITS = 12
+#: Groups, or rows, that one range numbers at most, about.
+RANGE_ROWS = 20_000
 
 
 class RemainingTree:
@@ -72,112 +79,130 @@ class RemainingTree:
         return best
 
 
-def best_fit_decreasing(items: list[tuple[int, object]], capacity: int, most: int | None = None) -> dict | None:
-    """Bin of each item, or None if more than ``most`` bins were needed. Items over the capacity get a bin each."""
-    tree, placed, opened = RemainingTree(), {}, 0
-    for size, key in sorted(items, key=lambda x: (-x[0], str(x[1]))):
-        found = tree.take(size)
-        if found is None:
-            found = (max(capacity, size), opened)
-            opened += 1
-            if most is not None and opened > most:
-                return None
-        placed[key] = found[1]
-        tree.add((found[0] - size, found[1]))
-    return placed
+#: Of each size, the bins that its groups enter, in order: (bin, number of groups).
+Plan = dict[int, list[tuple[int, int]]]
 
 
-def pack_into(items: list[tuple[int, object]], bins: int) -> dict:
-    """Bin of each item at the smallest capacity that best-fit-decreasing fills no more than ``bins`` bins with.
+def best_fit_decreasing(sizes: list[tuple[int, int]], capacity: int, most: int | None = None) -> Plan | None:
+    """Bins of ``sizes`` (size, number of groups), or None if more than ``most`` bins were needed.
 
-    An item over the mean of what is left gets a bin of its own first, so that one huge group
-    doesn't set the capacity of all others.
+    Groups over the capacity get a bin each. Equal groups that follow one another enter one bin until
+    it is full, as it stays the tightest; so a run is placed at once.
     """
-    placed, first, items = {}, 0, sorted(items, key=lambda x: (-x[0], str(x[1])))
-    while items and bins - first > 1 and items[0][0] * (bins - first) > sum(s for s, _ in items):
-        placed[items.pop(0)[1]] = first
-        first += 1
-    if not items:
-        return placed
-    left, total = bins - first, sum(s for s, _ in items)
-    low, high = max(items[0][0], -(-total // left)), 2 * max(items[0][0], -(-total // left))
-    best = best_fit_decreasing(items, high, left)
-    while best is None:
-        low, high = high, 2 * high
-        best = best_fit_decreasing(items, high, left)
-    for _ in range(12):
-        if high - low <= max(1, low // 10_000):
-            break
+    tree, plan, opened = RemainingTree(), {}, 0
+    for size, n in sorted(sizes, reverse=True):
+        runs = plan.setdefault(size, [])
+        while n:
+            found = tree.take(size)
+            if found is None:
+                if most is not None and opened == most:
+                    return None
+                found = (max(capacity, size), opened)
+                opened += 1
+            k = min(n, found[0] // size)
+            runs.append((found[1], k))
+            tree.add((found[0] - k * size, found[1]))
+            n -= k
+    return plan
+
+
+def least_capacity(sizes: list[tuple[int, int]], bins: int) -> int:
+    """The smallest capacity, to 1/10,000, at which a search by halves finds that ``bins`` bins suffice."""
+    low = high = max(max(s for s, _ in sizes), -(-sum(s * n for s, n in sizes) // bins))
+    while best_fit_decreasing(sizes, high, bins) is None:
+        low, high = high + 1, high + max(1, high // 64)
+    while high - low > max(1, low // 10_000):
         middle = (low + high) // 2
-        found = best_fit_decreasing(items, middle, left)
-        low, high, best = (low, middle, found) if found is not None else (middle, high, best)
-    return placed | {k: first + b for k, b in best.items()}
+        low, high = (low, middle) if best_fit_decreasing(sizes, middle, bins) is not None else (middle, high)
+    return high
 
 
-def group_plan(slim: DataFrame, total: int, bins: int, key: str = "group_key", size: str = "size") -> tuple[list, int]:
-    """(items, parcels) for packing: items are (size, key) of large groups and (size, ~parcel number) of parcels."""
-    parcels = PARCELS * bins
-    groups = slim.groupBy(key).agg(F.sum(size).alias("s"))
-    large_from = max(1, total // (GRAIN * bins))
-    part = F.when(F.col("s") >= large_from, F.col(key)).otherwise(F.pmod(F.hash(key, F.lit(3)), F.lit(parcels)).cast("long"))
-    rows = groups.groupBy((F.col("s") >= large_from).alias("large"), part.alias("k")).agg(F.sum("s").alias("s")).collect()
-    return [(r.s, (r.large, r.k)) for r in rows], parcels
+def pack_into(sizes: list[tuple[int, int]], bins: int) -> Plan:
+    """The plan of the fixed capacity that makes best-fit-decreasing fill no more than ``bins`` bins.
 
-
-def shards(docs: DataFrame, bins: int, extra: list[str] | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, law 'bytes', shard, slot and grown_shard for every row.
-
-    Rows of equal text form one group and share a shard. A null text counts as an empty one. Equal
-    rows get different slots. An empty table gives an empty result. A 64-bit hash names a group;
-    should two texts share it, they share a shard, which breaks nothing.
+    A group over the mean of what is left gets a bin of its own first, so that one huge group doesn't
+    set the capacity of all others.
+    """
+    plan, first, left = {}, 0, dict(sizes)
+    total = sum(s * n for s, n in sizes)
+    while left and bins - first > 1 and max(left) * (bins - first) > total:
+        size = max(left)
+        plan.setdefault(size, []).append((first, 1))
+        left[size] -= 1
+        left = {s: n for s, n in left.items() if n}
+        first, total = first + 1, total - size
+    if left:
+        rest = list(left.items())
+        for size, runs in best_fit_decreasing(rest, least_capacity(rest, bins - first)).items():
+            plan.setdefault(size, []).extend((first + b, k) for b, k in runs)
+    return plan
+
+
+def rounded(size: Column) -> Column:
+    """A size, rounded up to BITS leading bits."""
+    drop = F.greatest(F.length(F.bin(size)) - BITS, F.lit(0))
+    unit = F.pow(F.lit(2.0), drop).cast("long")
+    return (F.ceil(size / unit) * unit).cast("long")
+
+
+def numbered(rows: DataFrame, by: str, order: list[str], ranges: Column, out: str, slim: DataFrame | None = None) -> DataFrame:
+    """Rows numbered from 0 without gaps for each value of ``by``, as column ``out``.
+
+    Ranges of about RANGE_ROWS rows, by a hash of the ``order`` columns, are counted first (over
+    ``slim``, if given, which has the same rows with fewer columns); a value with very many rows
+    spreads over its ranges. ``ranges``: how many a value has.
     """
-    spark = docs.sparkSession
+    named = lambda df: df.withColumn("__range", F.pmod(F.xxhash64(*order, F.lit(out)), ranges).cast("int"))
+    counts = named(slim if slim is not None else rows).groupBy(by, "__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = f"coalesce(sum(__n) over (partition by {by} order by __range rows between unbounded preceding and 1 preceding), 0)"
+    starts = stage(counts.select(by, "__range", F.expr(before).alias("__start")), "range-starts")
+    nth = F.expr(f"row_number() over (partition by {by}, __range order by {', '.join(order)})")
+    joined = named(rows).withColumn("__nth", nth).join(bounded(starts), [by, "__range"])
+    return joined.withColumn(out, F.col("__start") + F.col("__nth") - 1).drop("__range", "__start", "__nth")
+
+
+def placed(slim: DataFrame, bins: int) -> DataFrame:
+    """group_key, shard, staged: every group's bin."""
+    spark = slim.sparkSession
+    groups = slim.groupBy("group_key").agg(F.sum("size").alias("s")).select("group_key", rounded(F.col("s")).alias("class"))
+    groups = stage(groups, "shard-groups")
+    counts = [(r["class"], r["n"]) for r in groups.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect()]  # 2**BITS for each doubling of the size, at most
+    rows = []
+    for size, runs in pack_into(counts, bins).items():
+        ends, at = [], 0
+        for b, k in runs:
+            at += k
+            ends.append((at, b))
+        rows.append((size, -(-at // RANGE_ROWS), ends))
+    # a row for each size; a size enters each bin once at most
+    plan = F.broadcast(spark.createDataFrame(rows, "class long, ranges int, ends array<struct<upto: long, shard: int>>"))
+    members = numbered(groups.join(plan.select("class", "ranges"), "class"), "class", ["group_key"], F.col("ranges"), "nth")
+    shard = F.element_at(F.filter("ends", lambda e: F.col("nth") < e["upto"]), 1)["shard"]
+    return stage(members.join(plan.select("class", "ends"), "class").select("group_key", shard.alias("shard")), "group-shards")
+
+
+def shards(docs: DataFrame, bins: int, keep: bool = False) -> DataFrame:
+    """doc_id, size, text_crc32, law 'bytes', shard, slot and grown_shard for every row; with ``keep`` the
+    row's other columns first, but for those whose names these take."""
+    own = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    others = [c for c in docs.columns if c.lower() not in (*own, "doc_id")] if keep else []
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         "doc_id",
-        *(extra or []),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         F.xxhash64(text).alias("group_key"),
+        *([F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]).alias("__others")] if others else []),
     )
     slim = stage(rows.select("doc_id", "size", "text_crc32", "group_key"), "shard-sizes")
-    seen = slim.agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).first()
-    items, parcels = group_plan(slim, seen.s or 0, bins)
-    placed = pack_into(items, bins)
-    large = spark.createDataFrame([(k, b) for (is_large, k), b in placed.items() if is_large], "group_key long, own int")
-    small = spark.createDataFrame([(int(k), b) for (is_large, k), b in placed.items() if not is_large], "parcel int, parcel_bin int")
-
-    def put(table: DataFrame) -> DataFrame:
-        # both tables are bounded by GRAIN and PARCELS times the bins
-        named = table.withColumn("parcel", F.pmod(F.hash("group_key", F.lit(3)), F.lit(parcels)))
-        both = named.join(F.broadcast(large), "group_key", "left").join(F.broadcast(small), "parcel", "left")
-        return both.withColumn("shard", F.coalesce("own", "parcel_bin")).drop("own", "parcel_bin", "parcel")
-
+    where = placed(slim, bins)
+    small = stage(slim.join(bounded(where), "group_key"), "shard-rows")
+    ranges = F.lit(max(1, -(-small.count() // RANGE_ROWS)))
     # slots are counted over sizes alone; the rows themselves move once, when they are numbered
-    numbered = with_slots(put(rows), put(slim), max(1, -(-seen.n // SLOT_ROWS)))
-    return numbered.select("doc_id", *(extra or []), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
-
-
-def with_slots(put: DataFrame, slim: DataFrame, ranges: int) -> DataFrame:
-    """Number the rows of each shard from 0 without gaps, by ranges that are counted first, over ``slim``.
-
-    A range is a hash of the document's id and checksum, so one hot group spreads over all ranges of
-    its shard.
-    """
-    spark = put.sparkSession
-    named = lambda df: df.withColumn("slot_range", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(ranges)).cast("int"))
-    counts = sorted(named(slim).groupBy("shard", "slot_range").count().collect())
-    starts, at = [], {}
-    for shard, part, n in counts:  # shards times ranges: one small row per SLOT_ROWS documents
-        starts.append((shard, part, at.get(shard, 0)))
-        at[shard] = at.get(shard, 0) + n
-    first = spark.createDataFrame(starts, "shard int, slot_range int, first_slot long")
-    order = "row_number() over (partition by shard, slot_range order by doc_id, text_crc32, size, group_key)"
-    return (
-        named(put).withColumn("nth", F.expr(order))
-        .join(F.broadcast(first) if len(starts) <= 100_000 else first, ["shard", "slot_range"])
-        .withColumn("slot", (F.col("first_slot") + F.col("nth") - 1).cast("long"))
-    )
+    out = numbered(rows.join(bounded(where), "group_key") if others else small, "shard", ["doc_id", "text_crc32", "size", "group_key"], ranges, "slot", small)
+    return out.select(
+        *[F.col(f"__others.c{i}").alias(c) for i, c in enumerate(others)], "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+    )
 
 
 def op5_best_fit_sharding(spark, sf_dir: str) -> DataFrame:

@@ -263,32 +263,69 @@ def check_shards(rows):
     return by
 
 
-def test_op5(spark, folder, monkeypatch):
-    monkeypatch.setattr(sharding, "SLOT_ROWS", 10)
-    rows = QUERIES["op5_best_fit_sharding"](spark, folder).collect()
-    by = check_shards(rows)
-    assert len(rows) == len(corpus()) and set(by) == set(range(8))
-    assert {(r.size, r.text_crc32) for r in rows} == {(len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for _, t, *_ in corpus()}
-    rng = random.Random(2)
-    for _ in range(20):
-        items = [(rng.choice([1, 1, 5, 9, 30]), i) for i in range(rng.randint(0, 60))]
-        cap, bins, placed = 30, [], {}
-        for s, i in sorted(items, key=lambda x: (-x[0], str(x[1]))):
-            fit = [(room, b) for b, room in enumerate(bins) if room >= s]
+def one_by_one(sizes, bins):
+    """Groups of sizes into bins, each by itself: those over the mean alone first, then by best fit, decreasing."""
+    left, out, first = sorted(sizes, reverse=True), [], 0
+    while left and bins - first > 1 and left[0] * (bins - first) > sum(left):
+        out.append((left.pop(0), first))
+        first += 1
+    if left:
+        counts = list(collections.Counter(left).items())
+        cap, room = sharding.least_capacity(counts, bins - first), []
+        for s in left:
+            fit = [(r, b) for b, r in enumerate(room) if r >= s]
             if not fit:
-                bins.append(cap)
-                fit = [(cap, len(bins) - 1)]
-            bins[min(fit)[1]] -= s
-            placed[i] = min(fit)[1]
-        assert sharding.best_fit_decreasing(items, cap) == placed
-    sizes = [(1000, "huge")] + [(rng.randint(1, 20), i) for i in range(300)]
+                room.append(cap)
+                fit = [(cap, len(room) - 1)]
+            room[min(fit)[1]] -= s
+            out.append((s, first + min(fit)[1]))
+        assert len(room) <= bins - first and cap < 1.1 * max(sum(left) / (bins - first) + max(left), 1)
+    return sorted(out)
+
+
+def test_op5_packing():
+    rng = random.Random(2)
+    for _ in range(60):
+        sizes = [rng.choice([1, 1, 5, 9, 30, rng.randint(1, 400)]) for _ in range(rng.randint(0, 80))]
+        plan = sharding.pack_into(list(collections.Counter(sizes).items()), 8)
+        assert sorted((s, b) for s, runs in plan.items() for b, k in runs for _ in range(k)) == one_by_one(sizes, 8)
+        fixed = sharding.best_fit_decreasing(list(collections.Counter(sizes).items()), 40)
+        load = collections.Counter()
+        for s, runs in fixed.items():
+            for b, k in runs:
+                load[b] += s * k
+        assert all(v <= 40 or v in sizes for v in load.values())
+    huge = sharding.pack_into([(1000, 1), *collections.Counter(rng.randint(1, 20) for _ in range(300)).items()], 8)
     load = collections.Counter()
-    for s, k in sizes:
-        load[sharding.pack_into(sizes, 8)[k]] += s
+    for s, runs in huge.items():
+        for b, k in runs:
+            load[b] += s * k
     others = sorted(load.values())[:-1]
     assert len(load) == 8 and others[-1] - others[0] <= 20
 
 
+@pytest.mark.parametrize("bits", [12, 4])
+def test_op5(spark, folder, monkeypatch, bits):
+    """The whole query: of each size, as many groups in each shard as one-by-one packing puts there."""
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 10)
+    monkeypatch.setattr(sharding, "BITS", bits)
+    rows = QUERIES["op5_best_fit_sharding"](spark, folder).collect()
+    by = check_shards(rows)
+    assert len(rows) == len(corpus()) and set(by) == set(range(8))
+    assert sorted((r.doc_id is None, r.doc_id, r.size, r.text_crc32) for r in rows) == sorted((i is None, i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, *_ in corpus())
+
+    def up(n):
+        unit = 1 << max(0, n.bit_length() - bits)
+        return -(-n // unit) * unit
+
+    groups = collections.Counter()
+    for _, t, *_ in corpus():
+        groups[t or ""] += len((t or "").encode()) + 1
+    shard = {(r.text_crc32, r.size): r.shard for r in rows}
+    got = sorted((up(n), shard[zlib.crc32(t.encode()), len(t.encode()) + 1]) for t, n in groups.items())
+    assert got == one_by_one([up(n) for n in groups.values()], 8)
+
+
 def brute_bytes(docs, size):
     count = collections.Counter(t[i : i + size] for t in docs for i in range(len(t) - size + 1))
     out = []
@@ -473,7 +510,9 @@ def test_op9_bands_reject_junk():
     assert seen[0, False] > 9 * seen[0, True] and seen[1, False] < 0.02 * seen[1, True], seen
 
 
-def test_op10(spark, folder):
+@pytest.mark.parametrize("broadcast", [20_000, 0])
+def test_op10(spark, folder, monkeypatch, broadcast):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", broadcast)
     rows = QUERIES["op10_hash_threshold_mix"](spark, folder).collect()
     again = QUERIES["op10_hash_threshold_mix"](spark, folder).collect()
     assert sorted(map(str, rows)) == sorted(map(str, again)) and len(rows) == len(corpus())
@@ -491,6 +530,29 @@ def test_op10(spark, folder):
     assert all(abs(taken - target) <= largest for target, taken in by_target.items())
 
 
+def test_op10_mixed_documents(spark, folder, monkeypatch):
+    """The mix holds each document as often as the query says, also without a column for the source."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    want = collections.Counter()
+    for r in mixing.mix(docs).where("size > 0").collect():
+        want[r.doc_id, r.size] += r.taken // r.size
+    for broadcast in (20_000, 0):
+        monkeypatch.setattr(mixing, "BROADCAST_SOURCES", broadcast)
+        got = collections.Counter((r.doc_id, len(words(r.text))) for r in mixing.mixed_documents(docs).collect())
+        assert {k: n for k, n in got.items() if k[1]} == {k: n for k, n in want.items() if n}
+    assert mixing.mixed_documents(docs.drop("source", "lang")).count() > docs.count()
+
+
+def test_op10_sql(spark, folder):
+    """The same rows as the SQL, over the table with the awkward cases."""
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{folder}/documents.parquet/*.parquet')")
+    columns = ["doc_id", "size", "source_size", "target", "taken"]
+    want = con.execute(f"select {', '.join(columns)} from ({mixing.OP10_SQL})").fetchall()
+    assert sorted(want, key=str) == rows_of(QUERIES["op10_hash_threshold_mix"](spark, folder), *columns)
+
+
 def test_op10_targets():
     assert mixing.targets([100, 100, 100]) == [200.0, 2 * 250 / 3, 250 / 3]
     assert mixing.targets([]) == [] and mixing.targets([0, 5]) == [0.0, 7.5]
