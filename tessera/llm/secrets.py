@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ship, small_batches
+from tessera.llm.common import scratch, ship, small_batches, stage
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -395,8 +395,9 @@ def training_windows(docs: DataFrame, sample: int = SAMPLE_ROWS, most: int = TRA
         out = [(k, *x) for k, of in seen.items() for x in sorted(of.items())[:most]]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.string()))], names=["kind", "h", "x"])
 
-    found = rows.mapInArrow(run, "kind int, h long, x string").groupBy("kind", "h").agg(F.min("x").alias("x"))
-    least = found.withColumn("nth", F.expr("row_number() over (partition by kind order by h)")).where(F.col("nth") <= most).orderBy("kind", "h").collect()
+    with scratch():
+        found = stage(rows.mapInArrow(run, "kind int, h long, x string").groupBy("kind", "h").agg(F.min("x").alias("x")), "training-windows")
+        least = [r for k in range(3) for r in found.where(F.col("kind") == k).orderBy("h").limit(most).collect()]
     out = []
     for r in least:
         pairs = [p.split(":") for p in r.x.split(";")]
