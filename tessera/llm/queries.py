@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tessera.llm.decontaminate import OP1_SQL, op1_positional_index, op1_positional_index_near
-from tessera.llm.html import op8_consensus_html
+from tessera.llm.html import OP8_SQL, op8_consensus_html
 from tessera.llm.minhash import OP7_SQL, op7_chosen_path
 from tessera.llm.mixing import OP10_SQL, op10_hash_threshold_mix
 from tessera.llm.quality import op9_tokeniser_fertility
@@ -32,5 +32,6 @@ ORACLES: dict[str, str] = {
     "op2_merkle_fixity": OP2_SQL,
     "op4_rabin_karp_windows": OP4_SQL,
     "op7_chosen_path": OP7_SQL,
+    "op8_consensus_html": OP8_SQL,
     "op10_hash_threshold_mix": OP10_SQL,
 }

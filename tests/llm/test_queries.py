@@ -9,6 +9,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import html, minhash, mixing, quality, rolling, secrets, sharding, substring, suffix
@@ -416,6 +417,40 @@ def test_op8(spark, tmp_path):
     assert html.Page("<div><p>a<div>b</p></div>c").text(None)
 
 
+@pytest.mark.parametrize(
+    ("html_text", "want"),
+    [
+        ('<body><article><header><h1>T</h1></header><h2 id="search">Search</h2><p>one two three</p><section id="related-work"><p>four</p></section></article></body>', "T\nSearch\none two three\nfour"),
+        ('<body><div class="has-sidebar main"><p>one two three</p><div id="comments"><p>me too</p></div><p class="advert">buy</p></div><div id="sidebar-2"><p>x</p></div></body>', "one two three"),
+        ('<body><article><h1 class="page-header">T</h1><p>text of it</p><div id="comment-list"><p>reader</p></div></article><footer>f</footer></body>', "T\ntext of it"),
+        ("<body><article>" + "".join(f'<div class="a{c}"><div class="b"><div><section><div class="c"><div class="d"><div><p>part {c} of the text</p></div></div></div></section></div></div></div>' for c in "qrstuv") + "</article></body>", "\n".join(f"part {c} of the text" for c in "qrstuv")),
+    ],
+)
+def test_op8_articles(html_text, want):
+    """Ids and classes inside an article, its own title, and paragraphs in deep wrappers of their own."""
+    page = html.Page(html_text)
+    assert page.text(None) == want
+
+
+def test_op8_against_templates(spark, tmp_path):
+    """Pages generated from templates of several hosts, whose main text is known."""
+    rng = random.Random(8)
+    say = lambda n: " ".join(rng.choice(["harbour", "morning", "lamp", "river", "quiet", "seven", "walk", "stone"]) for _ in range(n))
+    templates = [
+        ('<div class="top"><ul class="menu"><li>{m}</li></ul></div><div class="entry-{i}">{body}</div><div class="sidebar"><p>{s}</p></div><div class="footer">{f}</div>'),
+        ('<nav>{m}</nav><main role="main"><article class="post">{body}<div class="share-buttons">{s}</div></article><section id="comments"><p>{long}</p></section></main><footer>{f}</footer>'),
+        ('<table><tr><td class="nav">{m}</td><td class="content">{body}</td></tr></table><div class="cookie-banner"><p>{long}</p></div>'),
+    ]
+    rows, want = [], {}
+    for i in range(60):
+        blocks = [say(rng.randint(6, 30)) for _ in range(rng.randint(2, 9))]
+        body = "".join(f"<p>{b} &amp; more</p>" for b in blocks)
+        rows.append((i, f"https://h{i % 3}.example/{i}", "<html><body>" + templates[i % 3].format(i=i, m=say(3), s=say(4), f=say(5), long=say(60), body=body) + "</body></html>"))
+        want[i] = "\n".join(f"{b} & more" for b in blocks)
+    spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("t")).withColumn("__host", F.lit(1)).withColumn("a b", F.lit(1)).write.parquet(f"{tmp_path}/pages.parquet")
+    assert {r.page_id: r.text for r in QUERIES["op8_consensus_html"](spark, str(tmp_path)).collect()} == want
+
+
 def test_op8_hosts_by_shuffle(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(html, "BROADCAST_HOSTS", 0)
     test_op8(spark, tmp_path)
