@@ -146,39 +146,35 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tuple[Da
     return index, phrase_matches(index, anchors, window)
 
 
-def near_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """The index, and its proximity matches with a test set."""
-    index = build_index(docs)
-    anchors = stage(near_anchored(*test_terms(index, items, window)), "test-near-anchors")
-    return index, proximity_matches(index, anchors)
-
-
-def near_report(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, items (sorted strings with a proximity match) for every row, staged."""
-    with scratch():
-        index, found = near_matches(docs, items, window)
-        hits = found.groupBy(F.col("doc_id").alias("h_doc"), F.col("text_key").alias("h_key")).agg(F.array_sort(F.collect_set("item")).alias("items"))
-        same = F.col("doc_id").eqNullSafe(F.col("h_doc")) & (F.col("text_key") == F.col("h_key"))
-        rows = index.select("doc_id", "text_key", "n_words").join(hits, same, "left")
-        return stage(rows.select("doc_id", "n_words", F.coalesce("items", F.array().cast("array<string>")).alias("items")), "near", outer=True)
-
-
 def report(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, text_key, n_words, n_hit, items (sorted strings) for every row, staged; the index is dropped."""
-    with scratch():
-        return stage(_report(*matches(docs, items, window)), "contamination", outer=True)
-
+    """doc_id, text_key, n_words, n_hit, items, near_items (sorted strings) of every row, staged; the index is dropped.
 
-def _report(index: DataFrame, found: DataFrame) -> DataFrame:
+    ``items`` have exact matches, ``near_items`` proximity matches; both are read from one index.
+    """
+    with scratch():
+        index = build_index(docs)
+        windows, counts = test_terms(index, items, window)
+        exact = _hits(phrase_matches(index, stage(anchored(windows, counts), "test-anchors"), window))
+        near = proximity_matches(index, stage(near_anchored(windows, counts), "test-near-anchors"))
+        near = near.groupBy(F.col("doc_id").alias("n_doc"), F.col("text_key").alias("n_key")).agg(F.array_sort(F.collect_set("item")).alias("near_items"))
+        rows = index.select("doc_id", "text_key", "n_words")
+        for hits, doc, key in ((exact, "h_doc", "h_key"), (near, "n_doc", "n_key")):
+            hits = bounded(stage(hits, "test-hits"))
+            rows = rows.join(hits, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col("text_key") == F.col(key)), "left")
+        none = F.array().cast("array<string>")
+        return stage(
+            rows.select("doc_id", "text_key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("near_items", none).alias("near_items")),
+            "contamination", outer=True,
+        )
+
+
+def _hits(found: DataFrame) -> DataFrame:
+    """h_doc, h_key, n_hit, items of documents with exact matches."""
     # the union of a document's hit ranges: what each adds beyond the furthest end before it
     before = F.expr("max(after) over (partition by doc_id, text_key order by first, after rows between unbounded preceding and 1 preceding)")
     added = F.greatest(F.lit(0), F.col("after") - F.greatest(F.col("first"), F.coalesce(before, F.lit(0))))
-    hits = found.withColumn("added", added).groupBy("doc_id", "text_key").agg(F.sum("added").alias("n_hit"), F.array_sort(F.collect_set("item")).alias("items"))
     # rows with equal id and text are all matched: each of them has added the same ranges, of which the union is kept
-    hits = hits.select(F.col("doc_id").alias("h_doc"), F.col("text_key").alias("h_key"), "n_hit", "items")
-    rows = index.select("doc_id", "text_key", "n_words")
-    joined = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("h_doc")) & (F.col("text_key") == F.col("h_key")), "left")
-    return joined.select("doc_id", "text_key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return found.withColumn("added", added).groupBy(F.col("doc_id").alias("h_doc"), F.col("text_key").alias("h_key")).agg(F.sum("added").alias("n_hit"), F.array_sort(F.collect_set("item")).alias("items"))
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -192,22 +188,19 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def op1_positional_index(spark, sf_dir: str) -> DataFrame:
     found = report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    digest = lambda c: F.sha2(F.array_join(c, ","), 256)
     return found.select(
         "doc_id",
         "n_words",
         "n_hit",
         F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        digest("items").alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near_items").cast("long").alias("n_near_items"),
+        digest("near_items").alias("near_items_sha256"),
     )
 
 
-def op1_positional_index_near(spark, sf_dir: str) -> DataFrame:
-    found = near_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    n = F.size("items").cast("long").alias("n_near_items")
-    return found.select("doc_id", "n_words", n, F.sha2(F.array_join("items", ","), 256).alias("near_items_sha256"), (F.size("items") > 0).alias("near"))
-
-
 OP1_SQL = r"""
 with item as (
   select coalesce(cast(item_id as varchar), 'null') as item,
@@ -224,8 +217,16 @@ with item as (
   select r, s, n, list_slice(w, s, s + n - 1) as g from doc, lens, unnest(range(1, len(w) - n + 2)) as u(s) where len(w) >= n
 ), hit as (select r, s, gram.n as n, item from gram join win using (g)),
 pos as (select r, count(distinct p) as n_hit from hit, unnest(range(s, s + n)) as u(p) group by r),
-its as (select r, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as l from hit group by r)
+its as (select r, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as l from hit group by r),
+wins as (select row_number() over () as wid, item, list_distinct(g) as ts from win where len(list_distinct(g)) >= 8),
+wt as (select wid, unnest(ts) as term from wins),
+dp as (select r, p, w[p] as term from doc, unnest(range(1, len(w) + 1)) as u(p) where w[p] in (select term from wt)),
+pair as (select r, wid from (select distinct r, term from dp) join wt using (term) group by all having count(*) >= 8),
+spot as (select r, wid, p, term from pair join wt using (wid) join dp using (r, term)),
+near as (select r, wid, list_unique(list(term) over (partition by r, wid order by p range between 15 preceding and 15 following)) as c from spot),
+nits as (select r, count(distinct item) as n_near, string_agg(distinct item, ',' order by item) as nl from near join wins using (wid) where c >= 8 group by r)
 select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
-       sha256(coalesce(l, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-from doc left join pos using (r) left join its using (r)
+       sha256(coalesce(l, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated,
+       coalesce(n_near, 0) as n_near_items, sha256(coalesce(nl, '')) as near_items_sha256
+from doc left join pos using (r) left join its using (r) left join nits using (r)
 """

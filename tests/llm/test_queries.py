@@ -149,7 +149,7 @@ def test_op1_near(spark, tmp_path):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = {r.doc_id: (r.n_near_items, r.near_items_sha256) for r in QUERIES["op1_positional_index_near"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: (r.n_near_items, r.near_items_sha256) for r in QUERIES["op1_positional_index"](spark, str(tmp_path)).collect()}
     assert got == {i: (len(x), hashlib.sha256(",".join(x).encode()).hexdigest()) for i, x in enumerate(found)}
     assert found[60] == ["1"] and found[61] == ["null"] and not found[62] and 5 < sum(map(bool, found)) < len(texts) - 5
 
