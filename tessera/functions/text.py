@@ -37,9 +37,11 @@ def hash_vector(text: Column, dim: int) -> Column:
     place = lambda w: F.conv(F.substring(F.sha1(w), 1, 4), 16, 10).cast("int") % dim
     sign = lambda w: 1 - 2 * (F.conv(F.substring(F.sha1(w), 5, 2), 16, 10).cast("int") % 2)
     hits = F.transform(words, lambda w: F.struct(place(w).alias("i"), sign(w).cast("double").alias("s")))
-    zero = F.array_repeat(F.lit(0.0), dim)
-    # each word changes one place of the running vector
-    total = F.aggregate(hits, zero, lambda acc, h: F.transform(acc, lambda v, i: F.when(i == h["i"], v + h["s"]).otherwise(v)))
+    # the vector is written once: each place sums the hits that name it, of which there are as many as words
+    at = lambda found: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at(found, i), F.lit(0.0)))
+    places = lambda h: F.array_distinct(F.transform(h, lambda x: x["i"]))
+    summed = lambda h: F.map_from_arrays(places(h), F.transform(places(h), lambda i: F.aggregate(F.filter(h, lambda x: x["i"] == i), F.lit(0.0), lambda s, x: s + x["s"])))
+    total = let(hits, lambda h: let(summed(h), at))
     norm = lambda t: F.sqrt(F.aggregate(t, F.lit(0.0), lambda s, v: s + v * v))
     return let(total, lambda t: let(norm(t), lambda n: F.transform(t, lambda v: F.when(n > 0, v / n).otherwise(v))))
 

@@ -28,8 +28,7 @@ def label_propagation(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     for _ in range(rounds):
         seen = both.join(labels.select(F.col("v").alias("w"), "label"), "w").select("v", "label").unionByName(labels.select("v", "label"))
         votes = seen.groupBy("v", "label").agg(F.count(F.lit(1)).alias("n"))
-        best = votes.groupBy("v").agg(F.max("n").alias("n"))
-        fresh = stage(votes.join(best, ["v", "n"]).groupBy("v").agg(F.min("label").alias("label")), "labels")
+        fresh = stage(votes.groupBy("v").agg(F.min(F.struct((-F.col("n")).alias("m"), "label"))["label"].alias("label")), "labels")
         changed = fresh.join(labels.withColumnRenamed("label", "was"), "v").where("label <> was").limit(1).count()
         labels = fresh
         if not changed:

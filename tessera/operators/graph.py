@@ -18,7 +18,9 @@ def _walk(edges: DataFrame, roots: DataFrame, max_depth: int, keys: list[str]) -
     """
     start = roots.select(*keys, F.lit(0).alias("depth"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("edge_type"), F.array("node").alias("path"))
     visited = frontier = stage(start.dropDuplicates(keys), "walk")
+    # written once, dealt by where edges start, so that no level computes them again
     moves = edges.select("from_id", "to_id", F.coalesce("confidence", F.lit(0.5)).alias("confidence"), F.coalesce("reason", F.lit("unknown")).alias("edge_type"))
+    moves = stage(moves, "walk-edges")
     for depth in range(1, max_depth + 1):
         root = [k for k in keys if k != "node"]
         step = frontier.select(*root, F.col("node").alias("from_id"), "path").join(moves, "from_id")

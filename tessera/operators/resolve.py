@@ -44,7 +44,9 @@ def resolve_calls(sites: DataFrame, methods: DataFrame, classes: DataFrame) -> D
     typed = site.where("receiver is not null and receiver <> 'this'").withColumn("type", kind)
     guessed = typed.select(*key, F.explode(type_candidates(F.col("type"), F.col("imports"), F.col("package"))).alias("fqcn"))
     simple = typed.select(*key, F.substring_index(F.regexp_replace("type", r"(\[\])+$", ""), ".", -1).alias("simple"))
-    anywhere = simple.join(classes.select(F.col("name").alias("simple"), "fqcn").distinct(), "simple").select(*key, "fqcn")
+    # through the methods of such classes, so that a simple name that many classes share meets only those that have the method
+    of_class = m.join(classes.select("fqcn", F.col("name").alias("simple")).distinct(), "fqcn").select("simple", "called", "arg_count", "fqcn").distinct()
+    anywhere = simple.join(of_class, ["simple", "called", "arg_count"]).select(*key, "fqcn")
     first_typed = (
         guessed.unionByName(anywhere).distinct().join(m, ["fqcn", "called", "arg_count"])
         .select("call_id", "source_id", "dst_id", F.lit(1).alias("tier"), F.lit(0.8).alias("confidence"), F.lit("receiver_method_match").alias("reason")).distinct()
@@ -64,8 +66,11 @@ def resolve_calls(sites: DataFrame, methods: DataFrame, classes: DataFrame) -> D
     fourth = _scored(site.select(*key), m.select("dst_id", "called", "arg_count"), ["called", "arg_count"], 4)
 
     found = reduce(DataFrame.unionByName, [first_this, first_typed, second, third, fourth])
-    best = found.groupBy("call_id").agg(F.min("tier").alias("tier"))
-    return found.join(best, ["call_id", "tier"]).select(F.col("source_id").alias("src_id"), "dst_id", "confidence", "reason").distinct()
+    # one aggregate for each site and tier, combined before the shuffle, then the least tier of a site: targets of a tier are few
+    target = F.collect_set(F.struct("source_id", "dst_id", "confidence", "reason")).alias("targets")
+    first = found.groupBy("call_id", "tier").agg(target).groupBy("call_id").agg(F.min_by("targets", "tier").alias("targets"))
+    each = first.select(F.explode("targets").alias("t"))
+    return each.select(F.col("t.source_id").alias("src_id"), "t.dst_id", "t.confidence", "t.reason").distinct()
 
 
 def _scored(sites: DataFrame, methods: DataFrame, on: list[str], tier: int) -> DataFrame:

@@ -26,9 +26,11 @@ DDL = {
     "co_changed_with": "src_id string, dst_id string, strength double, cochanges bigint, months bigint",
     "file_state": "file_id string, mtime timestamp, size bigint, cached_hash string",
     "embedding_cache": "key string, embedding array<float>",
+    "site": "call_id string, source_id string, name string, receiver string, arg_count int, class_id string, class_fqcn string, package string, imports array<string>, local_types map<string,string>, field_types map<string,string>, file_id string",
+    "type_ref": "class_id string, relation string, type string, imports array<string>, package string, file_id string",
 }
 NODES = ("project", "file", "class", "method", "symbol", "community", "flow")
-CACHES = ("schema_meta", "file_state", "embedding_cache")
+CACHES = ("schema_meta", "file_state", "embedding_cache", "site", "type_ref")
 EDGES = tuple(t for t in DDL if t not in NODES and t not in CACHES)
 
 
@@ -49,8 +51,3 @@ def conform(df: DataFrame, table: str, defaults: dict | None = None) -> DataFram
 
 def _columns(ddl: str) -> list[str]:
     return [p.strip() for p in ddl.split(", ")]
-
-
-def checked_vectors(symbols: DataFrame, dim: int = VECTOR_DIM) -> DataFrame:
-    """Vectors of another length than ``dim`` become null."""
-    return symbols.withColumn("embedding", F.when(F.size("embedding") == dim, F.col("embedding")))

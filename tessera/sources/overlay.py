@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,16 +14,25 @@ from tessera.operators.versions import latest
 DOCUMENT = """project_id string, project_path string, repo_root string, base_commit string, current_head string,
 dirty_files map<string, struct<file_path: string, rel_path: string, file_id: string, file_hash: string, is_test: boolean,
   symbols: array<struct<id: string, kind: string, name: string, fqname: string, file_id: string, line: bigint, col: bigint>>,
+  methods: array<struct<id: string, class_id: string, name: string, signature: string, fqcn: string, file_id: string, is_test: boolean>>,
   calls: array<struct<src: string, dst: string, confidence: double, reason: string>>>>,
 deleted_files array<string>, updated_at bigint"""
 #: project_id, file_id, op ('dirty', 'deleted' or 'clear'), seq.
 EVENTS = "project_id string, file_id string, op string, content string, rel_path string, seq bigint"
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Overlay documents; broken ones become rows of nulls and are left out."""
-    found = spark.read.schema(DOCUMENT).option("multiLine", "true").option("mode", "PERMISSIVE").json(path)
-    return found.where("project_id is not null")
+def read_documents(spark: SparkSession, path: str, projects: DataFrame | None = None) -> DataFrame:
+    """Overlay documents; with ``projects`` (id, path), an empty one for each project whose document is missing or broken."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(where):
+        found = spark.read.schema(DOCUMENT).option("multiLine", "true").option("mode", "PERMISSIVE").option("pathGlobFilter", "*.json").json(path).where("project_id is not null")
+    else:
+        found = spark.createDataFrame([], DOCUMENT)
+    if projects is None:
+        return found
+    named = projects.select(F.col("id").alias("project_id"), F.col("path").alias("__path"))
+    return named.join(found, "project_id", "left").withColumn("project_path", F.coalesce("project_path", "__path")).select(*found.columns)
 
 
 def dirty(documents: DataFrame) -> DataFrame:
@@ -47,15 +59,47 @@ def state(events: DataFrame) -> DataFrame:
 
 
 def write_document(spark: SparkSession, path: str, project_id: str, document: str) -> None:
-    """Replace a project's document: written beside it first, so a reader never sees half of one."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{sha1_text(project_id)}.json")
+    """Replace a project's document: written beside it and moved over it, so a reader sees the old one or the new one."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{sha1_text(project_id)}.json")
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    beside = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_{sha1_text(project_id)}.tmp")
+    beside = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_{sha1_text(project_id)}.tmp")
     out = fs.create(beside, True)
     out.write(bytearray(document.encode()))
     out.close()
-    fs.delete(target, False)
-    fs.rename(beside, target)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri() if target.toUri().getScheme() else fs.getUri(), spark._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(beside, target, options)
+
+
+def read_document(spark: SparkSession, path: str, project_id: str, project_path: str = "") -> dict:
+    """A project's document as a dictionary; an empty one if it is missing or broken."""
+    empty = {"project_id": project_id, "project_path": project_path, "dirty_files": {}, "deleted_files": []}
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{sha1_text(project_id)}.json")
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(target):
+        return empty
+    stream = fs.open(target)
+    try:
+        found = json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    except json.JSONDecodeError:
+        return empty
+    finally:
+        stream.close()
+    return empty | found if isinstance(found, dict) else empty
+
+
+def upsert_files(document: dict, files: dict[str, dict], **header) -> dict:
+    """The document with files (by path) added or replaced; they are no longer marked as deleted."""
+    kept = [p for p in document["deleted_files"] if p not in files]
+    return document | header | {"dirty_files": document["dirty_files"] | files, "deleted_files": kept, "updated_at": int(time.time())}
+
+
+def mark_deleted(document: dict, paths: list[str], **header) -> dict:
+    """The document with paths marked as deleted and no longer dirty."""
+    left = {p: f for p, f in document["dirty_files"].items() if p not in paths}
+    return document | header | {"dirty_files": left, "deleted_files": sorted({*document["deleted_files"], *paths}), "updated_at": int(time.time())}
 
 
 def clear(spark: SparkSession, path: str, project_id: str | None = None) -> None:
