@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from tessera.plans.engine import Engine
 from tessera.session import local_session
 from tessera.sources import git, overlay
+from tessera.streaming import watch
 
 ROWS = 200
 
@@ -46,6 +47,10 @@ COMMANDS = {
     "overlay-status": (["overlay"], lambda e, a: e.overlay_status(overlay.read_documents(e.spark, a.overlay))),
     "overlay-clear": (["overlay"], lambda e, a: e.clear_overlay(a.overlay, a.project)),
     "overlay-promote": (["root", "overlay"], lambda e, a: e.promote(a.root, a.overlay)),
+    "overlay-update": (["overlay", "path"], lambda e, a: e.edited(a.overlay, [a.path])),
+    "reindex-file": (["path"], lambda e, a: e.reindex_file(a.path)),
+    "watch": (["changes", "overlay", "checkpoint"], lambda e, a: watch.follow(e, a.changes, a.overlay, a.checkpoint, once=a.full)),
+    "poll-heads": (["overlay"], lambda e, a: e.poll_heads(a.overlay)),
     "match": (["text"], lambda e, a: e.match(a.text)),
     "sql": (["text"], lambda e, a: e.sql(a.text)),
     "clear-project": (["project_id"], lambda e, a: e.store.clear_project(a.project_id)),

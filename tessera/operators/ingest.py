@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera import schema
 from tessera.functions import ids
 from tessera.functions.text import parameter_count
 from tessera.operators import resolve
@@ -14,6 +16,11 @@ from tessera.runtime import stage
 from tessera.sources import java
 
 
+def symbol_text(kind: Column, fqname: Column, returns: Column) -> Column:
+    """What is embedded of a symbol."""
+    return F.when(kind == "class", F.concat(F.lit("class "), fqname)).otherwise(F.concat(F.lit("method "), fqname, F.lit(" returns "), F.coalesce(returns, F.lit(""))))
+
+
 @dataclass
 class Parsed:
     """Tables of a set of files, before any names are resolved."""
@@ -43,11 +50,11 @@ def parse_files(files: DataFrame, compat_ids: bool = False, **options) -> Parsed
         "id", "class_id", "class_fqcn", "m.name", "m.signature", "m.return_type", "m.modifiers", "m.is_constructor", "is_test",
         parameter_count(F.col("m.signature")).alias("param_count"), "file_id", "project_id", "scope", "m.line", "m.col", "m.line_end", "m.body_hash",
     ).dropDuplicates(["id"])
-    class_symbols = classes.select(ids.symbol_id(F.lit("class"), F.col("scope"), F.col("fqcn"), project).alias("id"), F.lit("class").alias("kind"), "name", F.col("fqcn").alias("fqname"), "file_id", "line", "col", F.concat(F.lit("class "), "fqcn").alias("text"))
+    class_symbols = classes.select(ids.symbol_id(F.lit("class"), F.col("scope"), F.col("fqcn"), project).alias("id"), F.lit("class").alias("kind"), "name", F.col("fqcn").alias("fqname"), "file_id", "line", "col", symbol_text(F.lit("class"), F.col("fqcn"), F.lit(None)).alias("text"))
     fqname = F.concat("class_fqcn", F.lit("#"), "signature")
     method_symbols = methods.select(
         ids.symbol_id(F.lit("method"), F.col("scope"), fqname, project).alias("id"), F.lit("method").alias("kind"), "name", fqname.alias("fqname"), "file_id", "line", "col",
-        F.concat(F.lit("method "), fqname, F.lit(" returns "), "return_type").alias("text"),
+        symbol_text(F.lit("method"), fqname, F.col("return_type")).alias("text"),
     )
     sites = inner.select("id", "class_id", "class_fqcn", "package", "imports", F.col("m.local_types").alias("local_types"), "field_types", "file_id", F.posexplode("m.calls").alias("n", "c")).select(
         F.sha1(F.concat_ws(":", "id", "n")).alias("call_id"), F.col("id").alias("source_id"), "c.name", "c.receiver", "c.arg_count", "class_id", "class_fqcn", "package", "imports", "local_types", "field_types", "file_id"
@@ -68,15 +75,73 @@ def edges(parsed: Parsed, all_methods: DataFrame | None = None, all_classes: Dat
     return {"calls": calls, "implements": implements, "overrides": resolve.resolve_overrides(implements, methods)}
 
 
+def tables(parsed: Parsed) -> dict[str, DataFrame]:
+    """What parsing alone gives; call sites and type names are kept, so that names can be resolved again without parsing."""
+    return {"file": parsed.files, "class": parsed.classes, "method": parsed.methods, "symbol": parsed.symbols, "site": parsed.sites, "type_ref": parsed.types}
+
+
+def overlay_edges(parsed: Parsed, base_methods: DataFrame, base_classes: DataFrame) -> dict[str, DataFrame]:
+    """Edges of edited files: their names mean their own declarations and those of all files that aren't edited."""
+    edited = parsed.files.select(F.col("id").alias("file_id"))
+    methods = base_methods.join(edited, "file_id", "left_anti").unionByName(parsed.methods, allowMissingColumns=True)
+    classes = base_classes.join(edited, "file_id", "left_anti").unionByName(parsed.classes, allowMissingColumns=True)
+    return edges(parsed, methods, classes)
+
+
+def overlay_rows(parsed: Parsed, calls: DataFrame) -> DataFrame:
+    """A row for each edited file, as an overlay document holds it: declarations and calls as arrays."""
+    by = lambda df, name, columns: df.groupBy("file_id").agg(F.collect_list(F.struct(*columns)).alias(name))
+    own = parsed.methods.select(F.col("id").alias("src_id"), "file_id")
+    files = parsed.files.select(F.col("id").alias("file_id"), F.col("path").alias("rel_path"), "project_id", "is_test", F.col("hash").alias("file_hash"))
+    symbols = by(parsed.symbols, "symbols", ["id", "kind", "name", "fqname", "file_id", "line", "col"])
+    methods = by(parsed.methods, "methods", ["id", "class_id", "name", "signature", F.col("class_fqcn").alias("fqcn"), "file_id", "is_test"])
+    made = by(calls.join(own, "src_id"), "calls", [F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), "confidence", "reason"])
+    return files.join(symbols, "file_id", "left").join(methods, "file_id", "left").join(made, "file_id", "left")
+
+
 def index(files: DataFrame, **options) -> dict[str, DataFrame]:
     """All tables of a full index."""
     parsed = parse_files(files, **options)
-    return {"file": parsed.files, "class": parsed.classes, "method": parsed.methods, "symbol": parsed.symbols, **edges(parsed)}
-
-
-def counters(tables: dict[str, DataFrame]) -> dict[str, int]:
-    """Rows written to each table: edges count only where both ends exist."""
-    return {name: df.count() for name, df in tables.items()}
+    return {**tables(parsed), **edges(parsed)}
+
+
+def merged(old: dict[str, DataFrame], fresh: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
+    """Parsed tables with the files of ``gone`` (file_id) left out and the fresh ones added, staged."""
+    by_class = old["class"].join(gone, "file_id", "left_semi").select(F.col("id").alias("class_id"))
+    left = {name: old[name].join(gone, "file_id", "left_anti") for name in ("class", "symbol", "site", "type_ref")}
+    left["file"] = old["file"].join(gone.select(F.col("file_id").alias("id")), "id", "left_anti")
+    left["method"] = old["method"].join(by_class, "class_id", "left_anti")
+    out = {}
+    for name, df in left.items():
+        both = df.unionByName(schema.conform(fresh[name], name)) if name in fresh else df
+        out[name] = stage(both.dropDuplicates(["id"]) if name in ("class", "method", "symbol") else both, f"merged-{name}")
+    return out
+
+
+def resolved(parsed: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """calls, implements, overrides and references_type of parsed tables, and calls between projects."""
+    methods = with_classes(parsed)
+    classes = parsed["class"].join(parsed["file"].select(F.col("id").alias("file_id"), "project_id"), "file_id")
+    calls = resolve.resolve_calls(parsed["site"], methods, classes)
+    implements = stage(resolve.resolve_inheritance(parsed["type_ref"], classes), "implements")
+    cross = resolve.cross_module(methods, classes.select("id", "name", "project_id"))
+    return {
+        "calls": calls.unionByName(cross).dropDuplicates(["src_id", "dst_id", "reason"]), "implements": implements,
+        "overrides": resolve.resolve_overrides(implements, methods), "references_type": resolve.resolve_references(parsed["site"], methods, classes),
+    }
+
+
+def with_classes(parsed: dict[str, DataFrame]) -> DataFrame:
+    """Methods with what resolution compares: class_fqcn, param_count, file_id, project_id."""
+    c = parsed["class"].select(F.col("id").alias("class_id"), F.col("fqcn").alias("class_fqcn"), "file_id")
+    f = parsed["file"].select(F.col("id").alias("file_id"), "project_id")
+    return parsed["method"].join(c, "class_id").join(f, "file_id").withColumn("param_count", parameter_count(F.col("signature")))
+
+
+def counters(written: dict[str, DataFrame]) -> dict[str, int]:
+    """Rows of each table, in one job."""
+    counted = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name, df in written.items()]
+    return {r.name: r.n for r in reduce(DataFrame.unionByName, counted).collect()} if counted else {}
 
 
 def manifest(parsed: Parsed) -> DataFrame:

@@ -92,6 +92,19 @@ def resolve_inheritance(types: DataFrame, classes: DataFrame) -> DataFrame:
     return scored.groupBy("src_id", "dst_id").agg(F.max("confidence").alias("confidence"))
 
 
+def resolve_references(sites: DataFrame, methods: DataFrame, classes: DataFrame) -> DataFrame:
+    """references_type edges: a method and the classes that its local variables, and its class's fields, are declared with.
+
+    sites: source_id, local_types, field_types, imports, package; classes: id, fqcn. Only qualified
+    candidates count (own package, imports, dotted names), so confidence is 1.
+    """
+    used = F.array_distinct(F.concat(F.coalesce(F.map_values("local_types"), F.array().cast("array<string>")), F.coalesce(F.map_values("field_types"), F.array().cast("array<string>"))))
+    named = sites.select("source_id", "imports", "package", F.explode(used).alias("type"))
+    guessed = named.select(F.col("source_id").alias("src_id"), F.explode(type_candidates(F.col("type"), F.col("imports"), F.col("package"))).alias("fqcn")).distinct()
+    ends = guessed.join(classes.select("fqcn", F.col("id").alias("dst_id")), "fqcn").join(methods.select(F.col("id").alias("src_id")), "src_id", "left_semi")
+    return ends.select("src_id", "dst_id", F.lit(1.0).alias("confidence")).distinct()
+
+
 def resolve_overrides(implements: DataFrame, methods: DataFrame) -> DataFrame:
     """overrides edges: methods of equal signature in classes that an implements edge joins."""
     own = methods.where("not is_constructor").select(F.col("id").alias("src_id"), F.col("class_id").alias("sub"), "signature")

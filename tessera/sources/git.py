@@ -49,9 +49,12 @@ def diff_text(folder: str, ref: str = "HEAD", most_lines: int = 200) -> dict:
 
 
 @contextmanager
-def snapshot(folder: str, ref: str):
-    """A folder with the tree of a ref, removed afterwards."""
-    with tempfile.TemporaryDirectory() as base:
+def snapshot(folder: str, ref: str, shared: str | None = None):
+    """A folder with the tree of a ref, removed afterwards; below ``shared`` if that is a mounted folder, so that executors can read it."""
+    within = shared.removeprefix("file://") if shared and (shared.startswith("/") or shared.startswith("file://")) else None
+    if within:
+        Path(within).mkdir(parents=True, exist_ok=True)
+    with tempfile.TemporaryDirectory(dir=within, prefix="tree-") as base:
         tree = str(Path(base) / "tree")
         if _git(folder, "worktree", "add", "--detach", tree, ref, timeout=60) is None:
             raise ValueError(f"no such ref: {ref}")

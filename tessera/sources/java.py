@@ -405,6 +405,21 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     return rows.where(~inside.rlike(skip) & inside.contains("/src/"))
 
 
+def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, mtime, size, content of the named files that exist."""
+    plain = F.regexp_replace("path", "^[a-z]+:/+", "/")
+    there = [p for p in paths if _exists(spark, p)]
+    if not there:
+        return spark.createDataFrame([], "path string, mtime timestamp, size bigint, content binary")
+    found = spark.read.format("binaryFile").load(there)
+    return found.select(plain.alias("path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), "content")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def parsed(files: DataFrame, columns: list[str], content: str = "content", **options) -> DataFrame:
     """The chosen columns of each file with its package, imports and classes."""
     types = ", ".join([f"`{c}` {files.schema[c].dataType.simpleString()}" for c in columns] + [PARSED])

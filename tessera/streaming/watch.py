@@ -39,6 +39,30 @@ def watch(spark: SparkSession, changes: str, overlay: str, checkpoint: str, avai
     return writer.start()
 
 
+def follow(engine, changes: str, documents: str, checkpoint: str, once: bool = False, poll_heads: bool = True) -> dict:
+    """Follow change records and keep the overlay documents of an index up to date; then look whether heads have moved.
+
+    Each micro-batch is one debounced set of edits: its files are parsed and resolved, deleted ones are
+    marked, and their projects become dirty. With ``once``, what there is now is handled and the query ends.
+    """
+    stream = engine.spark.readStream.schema(CHANGES).json(changes)
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        last = latest(batch.withColumn("seq", F.unix_micros("ts")), ["project_id", "path"])
+        edits = last.where("op <> 'delete'").select("project_id", F.col("path").alias("rel_path"), F.encode("content", "UTF-8").alias("content"))
+        gone: dict[str, list[str]] = {}
+        for r in last.where("op = 'delete'").select("project_id", "path").collect():
+            gone.setdefault(r.project_id, []).append(r.path)
+        engine.update_overlay(documents, edits, gone)
+        if poll_heads:
+            engine.poll_heads(documents)
+
+    writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    query = (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{DEBOUNCE_MS} milliseconds")).start()
+    query.awaitTermination()
+    return {"batches": len(query.recentProgress)}
+
+
 def changes_by_module(batch: DataFrame, modules: DataFrame) -> DataFrame:
     """project_id, changed: changed files of each module in a batch."""
     from tessera.sources.workspace import to_modules

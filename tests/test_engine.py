@@ -127,6 +127,14 @@ def test_patterns(engine):
     assert [(r.m, r.t) for r in both] == [("helper", None), ("processPayment", "helper"), ("run", None), ("unusedHelper", None)]
     first = engine.match("MATCH (m:Method) WITH m ORDER BY m.name, m.id LIMIT 2 RETURN m.name AS n").collect()
     assert [r.n for r in first] == ["helper", "lonely"]
+    limited = engine.match("MATCH (m:Method) WITH m ORDER BY m.name, m.id LIMIT 3 MATCH (m)<-[:CALLS]-(x:Method) RETURN m.name AS m, x.name AS x").collect()
+    assert [(r.m, r.x) for r in limited] == [("helper", "processPayment")]
+    degree = engine.match("MATCH (m:Method)-[:CALLS]-(x:Method) WITH m, count(*) AS n WHERE n > 1 RETURN m.name AS m, n ORDER BY m").collect()
+    assert [(r.m, r.n) for r in degree] == [("processPayment", 3)]
+    listed = engine.match("UNWIND $names AS n MATCH (m:Method) WHERE m.name = n RETURN n, count(*) AS c ORDER BY n", names=["run", "main"]).collect()
+    assert [(r.n, r.c) for r in listed] == [("main", 1), ("run", 2)]
+    plan = engine.match("MATCH (m:Method)-[:CALLS]-(x:Method) RETURN m.name AS m")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
     with pytest.raises(ValueError, match="not supported"):
         to_sql("MATCH (m:Method) DELETE m")
 
@@ -172,6 +180,84 @@ def test_clear_and_reset(spark, workspace, tmp_path):
     assert e.store.table("file").count() == 0 and len(e.store.vacuum(1)) >= 2
 
 
+def test_incremental_parses_changed_files_only(spark, workspace, tmp_path, monkeypatch):
+    """One edited file is parsed alone; edges from unchanged files into it stay; clearing a mark writes one table."""
+    import shutil
+
+    from tessera.operators import ingest
+
+    root = tmp_path / "shop"
+    shutil.copytree(workspace, root)
+    e = Engine(spark, str(tmp_path / "index"))
+    e.analyse(str(root), deep=False)
+    seen, parse_files = [], ingest.parse_files
+    monkeypatch.setattr(ingest, "parse_files", lambda files, **o: seen.append(sorted(r.rel_path for r in files.select("rel_path").collect())) or parse_files(files, **o))
+    service = root / "src/main/java/com/example/Service.java"
+    service.write_text(SERVICE.replace("private void unusedHelper() { }", "public void added() { helper(); }"))
+    assert e.analyse(str(root), deep=False)["files_indexed"] == 1
+    assert seen == [["src/main/java/com/example/Service.java"]]
+    edges = {tuple(names(e, [r.src_id])) + tuple(names(e, [r.dst_id])) for r in e.store.table("calls").collect()}
+    assert edges == {("App.main", "Service.processPayment"), ("ServiceTest.testProcessPayment", "Service.processPayment"), ("Service.processPayment", "Service.helper"), ("Service.added", "Service.helper")}
+    before = e.store.manifest()
+    e.mark_dirty(["shop"])
+    after = e.store.manifest()
+    assert {t for t in after if after[t] != before.get(t)} == {"project"} and e.store.table("project").first().overlay_dirty
+    assert e.store.table("method", e.store.current() - 2).count() == 8
+    base = root / "src/main/java/com/example/Base.java"
+    base.unlink()
+    assert e.reindex_file(str(base))["files_deleted"] == 1 and e.store.table("class").count() == 3
+    base.write_text(BASE)
+    assert e.reindex_file(str(base))["files_indexed"] == 1 and e.store.table("overrides").count() == 1
+    assert e.reindex_file("/elsewhere/X.java") is None and e.repo_path("shop") == str(root)
+
+
+def test_conflicting_commits(spark, tmp_path, monkeypatch):
+    from tessera import schema
+    from tessera.sources.store import ConcurrentCommit, GraphStore
+
+    store = GraphStore(spark, str(tmp_path))
+    meta = lambda v: spark.createDataFrame([("version", v)], schema.DDL["schema_meta"])
+    store.commit({"schema_meta": meta("1")})
+    stale = GraphStore(spark, str(tmp_path))
+    monkeypatch.setattr(stale, "current", lambda: None)
+    with pytest.raises(ConcurrentCommit):
+        stale.commit({"schema_meta": meta("2")})
+    assert store.table("schema_meta").first().value == "1" and store.snapshots() == [1]
+    store.commit({"project": spark.createDataFrame([("o'b", "/p", "java", None, None, False)], schema.DDL["project"])})
+    store.clear_project("o'b")
+    assert store.table("project").count() == 0 and store.table("schema_meta").first().value == "1"
+
+
+def test_overlay_reads(spark, workspace, tmp_path):
+    """Edited files are parsed and resolved against the index; search, symbols and impact see them; projects become dirty."""
+    import shutil
+
+    from tessera.streaming import watch
+
+    root = tmp_path / "shop"
+    shutil.copytree(workspace, root)
+    e = Engine(spark, str(tmp_path / "index"))
+    e.analyse(str(root))
+    folder = str(tmp_path / "o")
+    (tmp_path / "changes").mkdir()
+    edited = SERVICE.replace("private void unusedHelper() { }", "public void freshlyAdded() { helper(); }")
+    change = {"project_id": "shop", "path": "src/main/java/com/example/Service.java", "op": "write", "content": edited, "ts": "2024-01-01T00:00:00Z"}
+    gone = {"project_id": "shop", "path": "src/test/java/com/example/ServiceTest.java", "op": "delete", "ts": "2024-01-01T00:00:01Z"}
+    (tmp_path / "changes/a.json").write_text(json.dumps(change) + "\n" + json.dumps(gone))
+    watch.follow(e, str(tmp_path / "changes"), folder, str(tmp_path / "cp"), once=True, poll_heads=False)
+    documents = overlay.read_documents(spark, folder)
+    assert e.store.table("project").first().overlay_dirty
+    assert e.search("freshlyAdded", documents=documents).first().name == "freshlyAdded" and e.search("freshlyAdded").first().name != "freshlyAdded"
+    assert {r.name for r in e.find_symbol("freshlyAdded", documents=documents).collect()} == {"freshlyAdded"}
+    assert {r.name for r in e.impact("helper", documents=documents).collect()} == {"processPayment", "freshlyAdded"}
+    assert not {"unusedHelper", "testProcessPayment"} & {r.name for r in e.methods(e.overlaid(documents)).collect()}
+    (tmp_path / "o/broken.json").write_text("{")
+    projects = e.store.table("project")
+    assert overlay.read_documents(spark, folder, projects).count() == projects.count() == 1
+    e.clear_overlay(folder)
+    assert overlay.read_documents(spark, folder, projects).first().dirty_files is None and not e.store.table("project").first().overlay_dirty
+
+
 def test_two_projects_same_name(spark, tmp_path):
     for p, m in (("a", "fromA"), ("b", "fromB")):
         d = tmp_path / "ws" / p / "src/main/java"
