@@ -41,7 +41,7 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 EDGES_SQL = """edges as (
   select distinct a.l_partkey as src, b.l_partkey as dst from lineitem a join lineitem b
   on a.l_orderkey = b.l_orderkey and b.l_linenumber = a.l_linenumber + 1
-  where a.l_quantity >= 45 and a.l_partkey <> b.l_partkey)"""
+  where a.l_partkey <> b.l_partkey)"""
 
 SYMBOLS_SQL = """symbols as (
   select p_partkey as id, case p_size % 3 when 0 then 'method' when 1 then 'class' else 'field' end as kind, p_name as name,
@@ -54,9 +54,9 @@ TOKENS_SQL = (
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    """Calls between parts: consecutive lines of an order, the first of 45 or more."""
+    """Calls between parts: consecutive lines of an order."""
     line = _t(spark, d, "lineitem")
-    a = line.where("l_quantity >= 45").select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("l_partkey").alias("src_id"))
+    a = line.select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("l_partkey").alias("src_id"))
     b = line.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("dst_id"))
     found = a.join(b, ["l_orderkey", "l_linenumber"]).where("src_id <> dst_id").select("src_id", "dst_id").distinct()
     return found.withColumn("confidence", F.lit(1.0)).withColumn("reason", F.lit("next_line"))
@@ -70,8 +70,23 @@ def symbols(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+ROOTS_SQL = "select p_partkey as id from part where lower(p_name) = 'red bolt' order by lpad(p_partkey::varchar, 12, '0') limit 50"
+
+
 def roots(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "part").where("p_partkey < 20").select(F.col("p_partkey").alias("node"))
+    """What the name 'red bolt' resolves to."""
+    s = symbols(spark, d).where(F.lower("name") == "red bolt").withColumn("id", F.lpad(F.col("id").cast("string"), 12, "0"))
+    return search.resolve_ids(s, "Red Bolt").select(F.col("id").cast("bigint").alias("node"))
+
+
+HALVES_SQL = "edges as (select a.p_partkey as src, b.p_partkey as dst from part a join part b on b.p_partkey = a.p_partkey // 2)"
+
+
+def halves(spark: SparkSession, d: str) -> DataFrame:
+    """Calls of every part to the one of half its number."""
+    p = _t(spark, d, "part")
+    half = p.select(F.col("p_partkey").alias("src_id"), F.floor(F.col("p_partkey") / 2).alias("dst_id"))
+    return half.join(p.select(F.col("p_partkey").alias("dst_id")), "dst_id", "left_semi").select("src_id", "dst_id", F.lit(1.0).alias("confidence"), F.lit("half").alias("reason"))
 
 
 # ranking
@@ -197,12 +212,12 @@ def _(spark, d):
 
 @query(
     "sr_attach_context",
-    """select p_partkey as id, p_type as community, coalesce(n, 0) as flows from (select * from part order by p_partkey limit 500) left join
-    (select l_partkey, least(count(distinct l_suppkey), 3) as n from lineitem where l_quantity >= 45 group by 1) on l_partkey = p_partkey""",
+    """select p_partkey as id, p_type as community, coalesce(n, 0) as flows from part left join
+    (select l_partkey, least(count(distinct l_suppkey), 3) as n from lineitem group by 1) on l_partkey = p_partkey""",
 )
 def _(spark, d):
-    p, line = _t(spark, d, "part"), _t(spark, d, "lineitem").where("l_quantity >= 45")
-    hits = p.select(F.col("p_partkey").alias("id")).orderBy("id").limit(500)
+    p, line = _t(spark, d, "part"), _t(spark, d, "lineitem")
+    hits = p.select(F.col("p_partkey").alias("id"))
     kinds = p.select(F.col("p_type").alias("id"), F.col("p_type").alias("label")).distinct()
     found = search.with_context(hits, p.select(F.col("p_partkey").alias("src_id"), F.col("p_type").alias("dst_id")), kinds, line.select(F.col("l_partkey").alias("src_id"), F.col("l_suppkey").alias("dst_id"), F.lit(1).alias("depth")))
     return found.select("id", "community", F.coalesce(F.size("flows"), F.lit(0)).cast("bigint").alias("flows"))
@@ -265,7 +280,7 @@ def _(spark, d):
 
 
 WALK_SQL = """, walk as (
-  select id as node, 0 as depth from (select p_partkey as id from part where p_partkey < 20)
+  select id as node, 0 as depth from (""" + ROOTS_SQL + """)
   union select {to}, w.depth + 1 from walk w join edges e on e.{at} = w.node where w.depth < {most})"""
 
 
@@ -291,26 +306,26 @@ def _(spark, d):
 
 @query(
     "gr_flow",
-    f"""with recursive {EDGES_SQL}, walk as (select p_partkey as entry, p_partkey as node, 0 as depth from part where p_partkey < 20
-      union select w.entry, e.dst, w.depth + 1 from walk w join edges e on e.src = w.node where w.depth < 3),
+    f"""with recursive {HALVES_SQL}, walk as (select p_partkey as entry, p_partkey as node, 0 as depth from part where p_name = 'main' or p_size % 2 = 0
+      union select w.entry, e.dst, w.depth + 1 from walk w join edges e on e.src = w.node where w.depth < 6),
     best as (select entry, node, min(depth) as depth from walk group by all)
     select entry, node, depth, case when count(*) over (partition by entry) > 12 then 'cross_community' else 'intra_community' end as kind from best""",
 )
 def _(spark, d):
-    return graph.flows(edges(spark, d), roots(spark, d), 3)
+    return graph.flows(halves(spark, d), graph.entry_methods(symbols(spark, d)))
 
 
 @query(
     "gr_neighborhood",
-    f"""with {EDGES_SQL}, t as (select p_partkey as target, p_brand from part where p_partkey < 20)
+    f"""with {EDGES_SQL}, t as (select p_partkey as target, p_brand, p_size from part), h as (select a.p_partkey as src, b.p_partkey as dst from part a join part b on b.p_partkey = a.p_partkey // 2)
     select target, 'caller' as role, src as node from t join edges on dst = target
     union all select target, 'callee', dst from t join edges on src = target
-    union all select target, 'sibling', p_partkey from t join part using (p_brand) where p_partkey <> target""",
+    union all select target, 'sibling', p_partkey from t join part using (p_brand, p_size) where p_partkey <> target
+    union all select src, 'overrides', dst from h union all select dst, 'overridden_by', src from h""",
 )
 def _(spark, d):
-    methods = _t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("class_id"))
-    none = edges(spark, d).where("false")
-    return graph.neighbourhood(roots(spark, d).withColumnRenamed("node", "target"), edges(spark, d), methods, none)
+    methods = _t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws("/", "p_brand", "p_size").alias("class_id"))
+    return graph.neighbourhood(methods.select(F.col("id").alias("target")), edges(spark, d), methods, halves(spark, d))
 
 
 DEAD_SQL = """with m as (select p_partkey as method_id, p_name as name, p_brand as class_fqcn, p_size % 2 = 0 as is_test,
@@ -487,12 +502,6 @@ def _(spark, d):
     return versions.upsert(c, changes, ["c_custkey"])
 
 
-@query("sink_clear_file", "select o_orderkey, o_custkey from orders where o_custkey not in (select c_custkey from customer where c_mktsegment = 'BUILDING')")
-def _(spark, d):
-    gone = _t(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
-    return versions.remove(_t(spark, d, "orders").select("o_orderkey", "o_custkey"), gone, ["o_custkey"])
-
-
 @query("sink_add_call", f"with {EDGES_SQL} select distinct src as src_id, dst as dst_id from edges where src in (select p_partkey from part where p_size > 10) and dst in (select p_partkey from part where p_size > 20)")
 def _(spark, d):
     e = edges(spark, d).select("src_id", "dst_id")
@@ -532,9 +541,10 @@ def _(spark, d):
     return _t(spark, d, "pages").select("page_id", F.sha1(T.normalised(F.col("html"))).alias("hash"))
 
 
-@query("ing_arg_count", "select doc_id, cast(case when trim(x) = '' then 0 else len(string_split(x, ',')) end as int) as args from (select doc_id, split_part(text, chr(10), 1) as x from documents)")
+@query("ing_arg_count", "select doc_id, cast(sum(case when trim(x) = '' then 0 else len(string_split(x, ',')) end) as bigint) as args from (select doc_id, unnest(string_split(text, chr(10))) as x from documents) group by 1")
 def _(spark, d):
-    return _t(spark, d, "documents").select("doc_id", T.argument_count(F.substring_index("text", "\n", 1)).alias("args"))
+    lines = _t(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.groupBy("doc_id").agg(F.sum(T.argument_count(F.col("line"))).cast("bigint").alias("args"))
 
 
 @query("ing_ids", "select doc_id, sha1(source || ':' || doc_id) as file_id, sha1(source || '|' || lang || '::' || doc_id || '#f(' || n_chars || ')') as method_id, sha1('class:' || lang || ':' || doc_id) as symbol_id from documents")

@@ -102,6 +102,10 @@ class GraphStore:
             raise
         return number
 
+    def restore(self, number: int) -> int:
+        """Publish an earlier snapshot again; nothing is copied."""
+        return self._publish((self.current() or 0) + 1, self.manifest(number))
+
     def vacuum(self, keep: int = 2) -> list[str]:
         """Delete all manifests but the last few, and table folders that none of those names."""
         numbers, gone = self.snapshots(), []
