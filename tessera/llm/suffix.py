@@ -12,8 +12,8 @@ included, consists of repeated stretches. Extension ends at the greatest offset
 have; intervals of one suffix end at once.
 
 A context that a block of documents has twice is repeated as a whole, so one copy of it is sent.
-Anchors with more than GROUP contexts are settled by counting the hashes of their stretches; chunks of
-contexts send each once, so no group lies in one task.
+An anchor with more contexts than fit a task (GROUP) is divided, by the bytes around it, into groups
+that share no stretch with one another, until each fits; those are expanded like all others.
 
 Cases: null and empty texts have no bytes; texts under ``size`` bytes lose none; equal rows are
 copies of one another and lose all repeated bytes; other columns are ignored; an empty table gives
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import rolling
-from tessera.llm.common import documents, ship, small_batches, stage
+from tessera.llm.common import bounded, documents, ship, small_batches, stage
 from tessera.llm.minhash import groups
 from tessera.llm.substring import MESSAGE, NO_ID, _block, _ids, _rows, _texts
 
@@ -39,8 +39,6 @@ SIZE, K = 400, 64
 PER_BUCKET, PER_BLOCK, PIECE = 32 << 20, 8 << 20, 1 << 20
 #: Contexts of an anchor in one task, and rows that are expanded together.
 GROUP, TOGETHER = 4_000, 6_000
-#: Contexts of such anchors that are counted together before they are sent.
-CHUNK_ROWS = 4_000
 U = rolling.U
 LOW = U((1 << 24) - 1)
 
@@ -347,79 +345,69 @@ def settle(rows: DataFrame, size: int, blocks: int) -> DataFrame:
     return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, MESSAGE)
 
 
-def _stretches(table: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all stretches around the anchors: a hash with the anchor and its offset, a second one, the row and the start.
+PART = CONTEXT + ", low int, high int"
 
-    With the anchor and its offset in the hash, each stretch of a text counts once.
-    """
-    anchor, pos, begins = (table.column(c).to_numpy() for c in ("anchor", "pos", "begins"))
-    keys, seconds, rows, starts = [], [], [], []
-    for i, context in enumerate(table.column("context").to_pylist()):
-        codes = rolling.BYTES[np.frombuffer(context, np.uint8)]
-        one = rolling.windows(codes, size)
-        offset = np.arange(len(one)) - begins[i]
-        keys.append(one ^ rolling.mix(offset.astype(U) ^ rolling.mix(anchor[i : i + 1].view(U))))
-        seconds.append(rolling.windows(codes, size, rolling.BASE2))
-        rows.append(np.full(len(one), i))
-        starts.append(offset + pos[i])
-    return np.concatenate(keys), np.concatenate(seconds), np.concatenate(rows), np.concatenate(starts)
-
-
-def large_chunk(table: pa.Table, size: int, buckets: int, blocks: int) -> list[tuple]:
-    """Messages of a chunk of contexts: to blocks the stretches that it has twice, to buckets one of each."""
-    ids, crcs = table.column("id").to_numpy(), table.column("crc").to_numpy().astype(np.uint32)
-    keys, seconds, row, start = _stretches(table, size)
-    _, first, inverse, counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-    at = np.flatnonzero(counts[inverse] > 1)
-    out = []
-    if len(at):
-        begins = np.concatenate([[True], (np.diff(at) > 1) | (np.diff(row[at]) != 0)])
-        a, z = at[begins], at[np.concatenate([begins[1:], [True]])]
-        out += to_blocks(2, ids[row[a]], crcs[row[a]], np.stack([start[a], start[z] + size], axis=1), blocks)
-    bucket = (seconds[first] % U(buckets)).astype(np.int64)
-    order = np.lexsort((row[first], bucket))
-    first, bucket = first[order], bucket[order]
-    cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-    for b in np.flatnonzero(np.diff(cuts)):
-        own = first[cuts[b] : cuts[b + 1]]
-        rows, n = np.unique(row[own], return_counts=True)
-        data = keys[own].tobytes() + start[own].astype(np.uint32).tobytes()
-        out.append((int(b), 1, ids[rows].tobytes(), crcs[rows].tobytes(), n.astype(np.uint32).tobytes(), data))
-    return out
-
-
-def large_bucket(messages: list[tuple[bytes, bytes, bytes, bytes]], size: int, blocks: int) -> list[tuple]:
-    """Messages to blocks: the stretches that more than one chunk has."""
-    ids, crcs, counts = (np.concatenate([np.frombuffer(m[i], t) for m in messages]) for i, t in enumerate((np.int64, np.uint32, np.uint32)))
-    keys = np.concatenate([np.frombuffer(m[3][: len(m[3]) * 2 // 3], U) for m in messages])
-    start = np.concatenate([np.frombuffer(m[3][len(m[3]) * 2 // 3 :], np.uint32) for m in messages]).astype(np.int64)
-    _, inverse, n = np.unique(keys, return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(ids)), counts)
-    again = np.flatnonzero(n[inverse] > 1)
-    return to_blocks(2, ids[owner[again]], crcs[owner[again]], np.stack([start[again], start[again] + size], axis=1), blocks)
 
+def halves(batch: pa.RecordBatch, size: int) -> pa.RecordBatch:
+    """Contexts of groups that are too large, dealt to two smaller groups each.
 
-def settle_large(rows: DataFrame, size: int, blocks: int, count: int) -> DataFrame:
-    """The same for anchors with very many contexts: hashes of all stretches around them, counted by Spark."""
-    buckets = max(1, -(-count // 5000))
+    A group looks for repeated stretches whose anchor lies at offsets low to high. Stretches of the
+    lower half share the bytes that follow the anchor up to what the greatest of these offsets leaves
+    of ``size``, those of the upper half the bytes before it down to the least of them; so rows with a
+    common stretch go on together, by a hash of the shared bytes and the group. Rows too short for a
+    half have no stretch there.
+    """
+    columns = {n: batch.column(n).to_pylist() for n in batch.schema.names}
+    picked, keys, lows, highs = [], [], [], []
+    for i, (key, begins, context, low, high) in enumerate(zip(columns["anchor"], columns["begins"], columns["context"], columns["low"], columns["high"], strict=True)):
+        middle, own = (low + high) // 2, key.to_bytes(8, "little", signed=True)
+        after = context[begins : begins + size - middle]
+        if len(after) == size - middle and begins >= low:
+            picked.append(i)
+            keys.append(hashlib.blake2b(b"<" + own + after, digest_size=8).digest())
+            lows.append(low)
+            highs.append(middle)
+        if begins > middle and high > middle:
+            picked.append(i)
+            keys.append(hashlib.blake2b(b">" + own + context[begins - middle - 1 : begins], digest_size=8).digest())
+            lows.append(middle + 1)
+            highs.append(high)
+    rows = batch.take(pa.array(picked, pa.int64()))
+    cells = [pa.array(np.frombuffer(b"".join(keys), np.int64), pa.int64()), *rows.columns[1:-2], pa.array(lows, pa.int32()), pa.array(highs, pa.int32())]
+    return pa.RecordBatch.from_arrays(cells, names=batch.schema.names)
+
+
+def divided(rows: DataFrame, size: int, blocks: int) -> list[DataFrame]:
+    """Staged messages for anchors with very many contexts: their groups are halved by offset until each fits a task.
+
+    Groups that fit are settled like all others, by interval expansion. A group of one offset shares a
+    whole stretch: its rows are repeats of one another, however many there are. So each row passes
+    through at most as many levels as ``size`` has bits, and no group lies in one task.
+    """
+    out = []
+    hot = rows.withColumn("low", F.lit(0)).withColumn("high", F.lit(size - K))
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held.append(batch)
-            n += batch.num_rows
-            if n >= CHUNK_ROWS:
-                yield _rows(large_chunk(pa.Table.from_batches(held), size, buckets, blocks))
-                held, n = [], 0
-        if n:
-            yield _rows(large_chunk(pa.Table.from_batches(held), size, buckets, blocks))
+            for i in range(0, batch.num_rows, 2_000):
+                yield halves(batch.slice(i, 2_000), size)
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (place,), table in groups(batches, ["place"]):
-            held = list(zip(*(c.to_pylist() for c in table.columns), strict=True))
-            yield _rows(held if place < 0 else large_bucket([r[2:] for r in held], size, blocks))
-
-    return rows.mapInArrow(send, MESSAGE).repartition("place").sortWithinPartitions("place").mapInArrow(find, MESSAGE)
+    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array([not x for x in batch.column("settled").to_pylist()], pa.bool_()))
+            pos, low = batch.column("pos").to_numpy(), batch.column("low").to_numpy()
+            x = np.stack([pos - low, pos - low + size], axis=1)
+            yield _rows(to_blocks(2, batch.column("id").to_numpy(), batch.column("crc").to_numpy().astype(np.uint32), x, blocks))
+
+    while True:
+        parts = stage(hot.mapInArrow(split, PART), "anchor-halves")
+        large = stage(parts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP).select("anchor"), "large-halves")
+        out.append(stage(settle(parts.join(bounded(large), "anchor", "left_anti").drop("low", "high"), size, blocks), "repeated-spans"))
+        hot = stage(parts.join(bounded(large), "anchor", "left_semi").select(*parts.columns), "hot-halves")
+        out.append(stage(hot.where("low = high").mapInArrow(same, MESSAGE), "repeated-spans"))
+        hot = hot.where("low < high")
+        if hot.isEmpty():
+            return out
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -457,12 +445,12 @@ def deduplicated(docs: DataFrame, size: int = SIZE) -> DataFrame:
     source = keyed(docs)
     around = contexts(dealt_to_blocks(source, repeated_anchors(source, size, total, blocks), blocks), size, blocks)
     rows = around.where("place = 0").select(*[x.split()[0] for x in CONTEXT.split(", ")])
-    large = stage(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP), "large-anchors")
-    count = large.agg(F.sum("n")).first()[0] or 0
+    large = stage(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP).select("anchor"), "large-anchors")
     found = around.where("place < 0").select(*[x.split()[0] for x in MESSAGE.split(", ")])
-    found = found.unionByName(stage(settle(rows.join(large.select("anchor"), "anchor", "left_anti"), size, blocks), "repeated-spans"))
-    if count:
-        found = found.unionByName(stage(settle_large(rows.join(large.select("anchor"), "anchor", "left_semi"), size, blocks, count), "repeated-spans"))
+    found = found.unionByName(stage(settle(rows.join(bounded(large), "anchor", "left_anti"), size, blocks), "repeated-spans"))
+    if not large.isEmpty():
+        for part in divided(rows.join(bounded(large), "anchor", "left_semi").select(*rows.columns), size, blocks):
+            found = found.unionByName(part)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, spans, texts in _blocks_of(batches):

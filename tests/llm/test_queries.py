@@ -342,7 +342,6 @@ def brute_bytes(docs, size):
 @pytest.mark.parametrize("group", [20_000, 3])
 def test_op6(spark, folder, monkeypatch, group):
     monkeypatch.setattr(suffix, "GROUP", group)
-    monkeypatch.setattr(suffix, "CHUNK_ROWS", 5)
     monkeypatch.setattr(suffix, "PER_BLOCK", 6000)
     monkeypatch.setattr(suffix, "PIECE", 2000)
     monkeypatch.setattr(suffix, "PER_BUCKET", 5000)
