@@ -345,7 +345,12 @@ def settle(rows: DataFrame, size: int, blocks: int) -> DataFrame:
     return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, MESSAGE)
 
 
-PART = CONTEXT + ", low int, high int"
+PART = CONTEXT + ", low int, high int, region binary"
+
+
+def _region(context: bytes, begins: int, low: int, high: int, size: int) -> bytes:
+    """Names the bytes of a context that stretches with the anchor at offsets low to high can have."""
+    return hashlib.blake2b(context[max(0, begins - high) : begins + size - low], digest_size=16).digest()
 
 
 def halves(batch: pa.RecordBatch, size: int) -> pa.RecordBatch:
@@ -358,56 +363,71 @@ def halves(batch: pa.RecordBatch, size: int) -> pa.RecordBatch:
     half have no stretch there.
     """
     columns = {n: batch.column(n).to_pylist() for n in batch.schema.names}
-    picked, keys, lows, highs = [], [], [], []
+    picked, keys, lows, highs, regions = [], [], [], [], []
+
+    def deal(i: int, key: bytes, low: int, high: int) -> None:
+        picked.append(i)
+        keys.append(hashlib.blake2b(key, digest_size=8).digest())
+        lows.append(low)
+        highs.append(high)
+        regions.append(_region(columns["context"][i], columns["begins"][i], low, high, size))
+
     for i, (key, begins, context, low, high) in enumerate(zip(columns["anchor"], columns["begins"], columns["context"], columns["low"], columns["high"], strict=True)):
         middle, own = (low + high) // 2, key.to_bytes(8, "little", signed=True)
         after = context[begins : begins + size - middle]
         if len(after) == size - middle and begins >= low:
-            picked.append(i)
-            keys.append(hashlib.blake2b(b"<" + own + after, digest_size=8).digest())
-            lows.append(low)
-            highs.append(middle)
+            deal(i, b"<" + own + after, low, middle)
         if begins > middle and high > middle:
-            picked.append(i)
-            keys.append(hashlib.blake2b(b">" + own + context[begins - middle - 1 : begins], digest_size=8).digest())
-            lows.append(middle + 1)
-            highs.append(high)
+            deal(i, b">" + own + context[begins - middle - 1 : begins], middle + 1, high)
     rows = batch.take(pa.array(picked, pa.int64()))
-    cells = [pa.array(np.frombuffer(b"".join(keys), np.int64), pa.int64()), *rows.columns[1:-2], pa.array(lows, pa.int32()), pa.array(highs, pa.int32())]
+    cells = [pa.array(np.frombuffer(b"".join(keys), np.int64), pa.int64()), *rows.columns[1:-3], pa.array(lows, pa.int32()), pa.array(highs, pa.int32()), pa.array(regions, pa.binary())]
     return pa.RecordBatch.from_arrays(cells, names=batch.schema.names)
 
 
 def divided(rows: DataFrame, size: int, blocks: int) -> list[DataFrame]:
     """Staged messages for anchors with very many contexts: their groups are halved by offset until each fits a task.
 
-    Groups that fit are settled like all others, by interval expansion. A group of one offset shares a
-    whole stretch: its rows are repeats of one another, however many there are. So each row passes
-    through at most as many levels as ``size`` has bits, and no group lies in one task.
+    Rows of a group that agree in all bytes its offsets can reach are repeats of one another there:
+    they are settled as a whole, and one of them goes on for the others' sake. So what goes on are
+    different rows, and a row only as long as a change of its own lies near. Groups that fit are
+    settled like all others, by interval expansion.
     """
-    out = []
-    hot = rows.withColumn("low", F.lit(0)).withColumn("high", F.lit(size - K))
+    out, others = [], [x.split()[0] for x in PART.split(", ") if not x.startswith(("anchor ", "region "))]
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 2_000):
-                yield halves(batch.slice(i, 2_000), size)
+            n = batch.num_rows
+            regions = [_region(c, b, 0, size - K, size) for c, b in zip(batch.column("context").to_pylist(), batch.column("begins").to_pylist(), strict=True)]
+            more = [pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, size - K, np.int32)), pa.array(regions, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "low", "high", "region"])
 
-    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array([not x for x in batch.column("settled").to_pylist()], pa.bool_()))
-            pos, low = batch.column("pos").to_numpy(), batch.column("low").to_numpy()
-            x = np.stack([pos - low, pos - low + size], axis=1)
-            yield _rows(to_blocks(2, batch.column("id").to_numpy(), batch.column("crc").to_numpy().astype(np.uint32), x, blocks))
+            yield halves(batch, size)
 
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pos, begins, low, high = (batch.column(c).to_numpy().astype(np.int64) for c in ("pos", "begins", "low", "high"))
+            after = np.array([len(c) for c in batch.column("context").to_pylist()], np.int64) - begins
+            most, least = np.minimum(high, begins), np.maximum(low, size - after)
+            has = most >= least
+            x = np.stack([pos - most, pos - least + size], axis=1)[has]
+            yield _rows(to_blocks(2, batch.column("id").to_numpy()[has], batch.column("crc").to_numpy()[has].astype(np.uint32), x, blocks))
+
+    parts = stage(rows.mapInArrow(first, PART), "anchor-parts")
     while True:
-        parts = stage(hot.mapInArrow(split, PART), "anchor-halves")
-        large = stage(parts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP).select("anchor"), "large-halves")
-        out.append(stage(settle(parts.join(bounded(large), "anchor", "left_anti").drop("low", "high"), size, blocks), "repeated-spans"))
-        hot = stage(parts.join(bounded(large), "anchor", "left_semi").select(*parts.columns), "hot-halves")
-        out.append(stage(hot.where("low = high").mapInArrow(same, MESSAGE), "repeated-spans"))
-        hot = hot.where("low < high")
-        if hot.isEmpty():
+        one = F.min(F.struct(*others)).alias("one")
+        same = stage(parts.groupBy("anchor", "region").agg(F.count(F.lit(1)).alias("n"), one), "equal-parts")
+        equal = stage(same.where("n > 1").select("anchor", "region"), "equal-regions")
+        out.append(stage(parts.where("not settled").join(bounded(equal), ["anchor", "region"], "left_semi").mapInArrow(whole, MESSAGE), "repeated-spans"))
+        left = same.select("anchor", *[(F.col("one.settled") | (F.col("n") > 1)).alias(c) if c == "settled" else F.col(f"one.{c}").alias(c) for c in others], "region")
+        left = stage(left, "different-parts")
+        large = stage(left.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP).select("anchor"), "large-parts")
+        out.append(stage(settle(left.join(bounded(large), "anchor", "left_anti").drop("low", "high", "region"), size, blocks), "repeated-spans"))
+        if large.isEmpty():
             return out
+        names = [x.split()[0] for x in PART.split(", ")]
+        parts = stage(left.join(bounded(large), "anchor", "left_semi").select(*names).mapInArrow(split, PART), "anchor-parts")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
