@@ -409,12 +409,30 @@ def _communities(spark, d):
     return community.communities(symbols(spark, d).select("id", "fqname"), community.symbol_edges(none, pairs))
 
 
-@query("gr_community")
+def _label_rounds(rounds: int = community.ROUNDS) -> str:
+    """Label propagation as one common table for each round; a fixed point repeats itself."""
+    said = "select g.v, l.label from both_ways g join l{0} l on l.v = g.w union all select v, label from l{0}"
+    best = "row_number() over (partition by v order by count(*) desc, label) as place"
+    one = f"l{{1}} as materialized (select v, label from (select v, label, {best} from ({said}) group by v, label) where place = 1)"
+    return ", ".join(["l0 as (select distinct v, v as label from both_ways)", *(one.format(k, k + 1) for k in range(rounds))])
+
+
+COMMUNITY_SQL = f"""{PAIRS_SQL}, e as materialized (select a, b from p join n x on x.i = a join n y on y.i = b where n_ab >= 3 and n_ab / greatest(x.n, y.n, 1) >= 0.03),
+both_ways as materialized (select a as v, b as w from e union all select b, a from e), {_label_rounds()},
+good as (select v, 'graph:' || label as place from l{community.ROUNDS} where label in (select label from l{community.ROUNDS} group by label having count(*) >= 2)),
+named as (select p_partkey as id, split_part(p_brand, '#', 1) as bucket from part),
+placed as (select id, bucket, coalesce(place, 'pkg:' || bucket) as community_id from named left join good on v = id),
+sized as (select *, count(*) over (partition by community_id) as size, count(*) over () as total from placed),
+buckets as (select community_id, bucket as label, row_number() over (partition by community_id order by count(*) desc, bucket) as place from placed group by community_id, bucket),
+found as (select id as symbol_id, community_id, label, size, least(1.0, size / total) as cohesion from sized join buckets using (community_id) where place = 1 and size >= 2)"""
+
+
+@query("gr_community", COMMUNITY_SQL + " select symbol_id, community_id, label, size, cohesion from found")
 def _(spark, d):
     return _communities(spark, d)
 
 
-@query("gr_community_sort")
+@query("gr_community_sort", COMMUNITY_SQL + " select distinct community_id, label, size, cohesion from found order by size desc, label desc, community_id")
 def _(spark, d):
     return community.community_table(_communities(spark, d))
 
