@@ -14,8 +14,9 @@ __all__ = ["bounded", "documents", "scratch", "shared_dir", "ship", "small_batch
 
 #: What separates words of texts: ASCII white space.
 BETWEEN = r"[\x20\x09-\x0D]+"
-#: Rows in an Arrow batch; whole texts travel in them, so the default of 10,000 is too many.
+#: Rows and bytes in an Arrow batch, whichever is reached first; whole texts travel in them.
 ARROW_ROWS = 512
+ARROW_BYTES = "16m"
 
 
 def ship(name: str) -> None:
@@ -24,8 +25,9 @@ def ship(name: str) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound an Arrow batch; whole texts may be long."""
+    """Bound an Arrow batch by rows and bytes, as whole texts may be long: for the session, since results are lazy."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 #: Rows of keys, of some 100 bytes each, that a broadcast may have.

@@ -498,4 +498,27 @@ def op6_interval_expansion(spark, sf_dir: str) -> DataFrame:
     return deduplicated(documents(spark, sf_dir)).drop("kept")
 
 
+#: All 400-byte windows, compared by 64-bit hashes; the bytes that are left are joined as hexadecimal digits.
+OP6_SQL = """
+with n as materialized (
+  select row_number() over () as r, doc_id, encode(coalesce(text, '')) as b, octet_length(encode(coalesce(text, ''))) as n from documents),
+w as materialized (
+  select r, s, hash(array_slice(b, s, s + 399)) as h from (select r, b, unnest(range(1, n - 398)) as s from n where n >= 400)),
+again as (select h from w group by h having count(*) > 1),
+hit as (select r, s, lag(s) over (partition by r order by s) as before from w where h in (select h from again)),
+opened as (select r, s, sum(case when before is null or s > before + 400 then 1 else 0 end) over (partition by r order by s) as run from hit),
+runs as materialized (select r, run, min(s) as a, max(s) + 400 as z from opened group by r, run),
+ends as (select r, count(*) as n_spans, max(z) as z from runs group by r),
+gaps as (
+  select r, lag(z, 1, 1) over (partition by r order by a) as since, a as upto from runs
+  union all select r, coalesce(z, 1), n + 1 from n left join ends using (r)),
+kept as (
+  select r, string_agg(case when upto > since then hex(array_slice(b, since, upto - 1)) else '' end, '' order by upto) as digits
+  from gaps join n using (r) group by r)
+select doc_id, n.n as n_bytes, cast(n.n - length(digits) // 2 as bigint) as n_removed,
+  cast(coalesce(n_spans, 0) as bigint) as n_spans, sha256(unhex(digits)) as kept_sha256
+from n join kept using (r) left join ends using (r)
+"""
+
+
 ship(__name__)
