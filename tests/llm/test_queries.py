@@ -350,6 +350,15 @@ def test_op6(spark, folder, monkeypatch, group):
     assert sorted(got) == want and sum(w[1] for w in want) > 2000
 
 
+def test_op6_sql(folder):
+    """The SQL against the same brute force, over the table with the awkward cases."""
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{folder}/documents.parquet/*.parquet')")
+    got = con.execute(f"select n_bytes, n_removed, n_spans, kept_sha256 from ({suffix.OP6_SQL})").fetchall()
+    assert sorted(got) == brute_bytes([(r[1] or "").encode() for r in corpus()], 400)
+
+
 def components_of(docs):
     sets, up = [], list(range(len(docs)))
     for r in docs:
