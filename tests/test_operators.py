@@ -37,6 +37,61 @@ def test_resolve_tiers(spark):
     assert "s6" not in got and "s8" not in got
 
 
+def brute_edges(sites, methods, classes):
+    """Tier by tier over all methods, for each site row; the least tier of a call counts."""
+    found = {}
+    for call, source, name, receiver, n, class_id, own, package, imports, local, field in sites:
+        if name in resolve.NOISE:
+            continue
+        m = [x for x in methods if x[1] == name and x[2] == n]
+        tiers = {1: set(), 2: {(x[0], 1.0, "intra_class_exact") for x in m if x[3] == class_id}}
+        if receiver == "this":
+            tiers[1] = {(x[0], 1.0, "receiver_this_exact") for x in m if x[4] == own}
+        elif receiver is not None:
+            plain = local.get(receiver, field.get(receiver, receiver)).replace("[]", "")
+            simple = plain.split(".")[-1]
+            types = {f"{package}.{simple}"} | ({plain} if "." in plain else set()) | {i for i in imports if i.split(".")[-1] == simple} | {i[:-1] + simple for i in imports if i.endswith(".*")}
+            types |= {c for c, short in classes if short == simple}
+            tiers[1] = {(x[0], 0.8, "receiver_method_match") for x in m if x[4] in types}
+        for tier, some in ((3, [x for x in m if x[4].startswith(f"{package}.")]), (4, m)):
+            how = (1.0, "exact_name_arity_unique") if len(some) == 1 else (0.5, "fuzzy_name_arity_ambiguous")
+            tiers[tier] = {(x[0], *how) for x in some} if len(some) <= resolve.MOST_TARGETS else set()
+        for tier, ends in tiers.items():
+            if ends:
+                found.setdefault((call, source), {}).setdefault(tier, set()).update(ends)
+    return {(source, *end) for (_, source), tiers in found.items() for end in tiers[min(tiers)]}
+
+
+def test_resolve_against_brute_force(spark):
+    rng = random.Random(7)
+    places = [("c1", "a.Own"), ("c2", "a.b.Own"), ("c3", "a.b.Far"), ("c4", "z.Far"), ("c5", "z.Out.In"), ("c6", "q.Alone")]
+    methods = [(f"m{i}", rng.choice("fgh"), rng.randrange(3), *rng.choice(places)) for i in range(60)] + [(f"n{i}", "hot", 0, *places[i % 6]) for i in range(40)]
+    methods += methods[:3]
+    classes = [("a.Own", "Own"), ("a.b.Own", "Own"), ("a.b.Far", "Far"), ("z.Far", "Far"), ("z.Out.In", "Out.In")]
+    receivers = [None, "this", "v", "w", "Own", "Far", "In", "Alone", "q.Alone", "z.Far[]", "Nothing"]
+    sites = []
+    for i in range(400):
+        c, f = rng.choice(places)
+        site = (f"k{i}", f"s{i % 90}", rng.choice(["f", "g", "h", "hot", "add"]), rng.choice(receivers), rng.randrange(3), c, f, f.rpartition(".")[0], rng.choice([["q.Alone"], ["z.*", "q.*"], ["z.Out.In"], []]), {"v": "Far[]"}, {"w": "Own"})
+        sites += [site] * rng.choice([1, 1, 2])
+        if i % 10 == 0:  # the same call once more, found by another tier
+            sites.append((*site[:3], None, *site[4:]))
+    tables = spark.createDataFrame(sites, SITE), spark.createDataFrame(methods, METHOD), spark.createDataFrame(classes, "fqcn string, name string")
+    got = [tuple(r) for r in resolve.resolve_calls(*tables).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_edges(sites, methods, classes)
+    assert {x[3] for x in got} == {reason for _, reason in resolve.REASONS.values()}
+
+
+def test_resolve_shuffles_no_edges(spark):
+    """After the last join nothing is grouped or sorted: each of these 300 calls has 300 targets, and 90,000 edges stay where they are made."""
+    methods = spark.range(300).selectExpr("concat('m', id) id", "'run' name", "0 param_count", "'c1' class_id", "'a.Own' class_fqcn")
+    sites = spark.range(300).selectExpr("concat('k', id) call_id", "concat('s', id) source_id", "'run' name", "cast(null as string) receiver", "0 arg_count", "'c1' class_id", "'a.Own' class_fqcn", "'a' package", "array('x.Y') imports", "map('v', 'x') local_types", "map('v', 'x') field_types")
+    edges = resolve.resolve_calls(sites, methods, methods.selectExpr("class_fqcn fqcn", "'Own' name").distinct())
+    assert edges.count() == 90_000
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and not any(x in plan for x in ("Aggregate", "Window", "Sort", "Repartition", "Generate"))
+
+
 def test_walks_on_random_graphs(spark):
     rng = random.Random(4)
     for _ in range(3):
