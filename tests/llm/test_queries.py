@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -350,6 +351,21 @@ def test_op6(spark, folder, monkeypatch, group):
     assert sorted(got) == want and sum(w[1] for w in want) > 2000
 
 
+def test_op6_anchor_twice_in_one_place(spark, monkeypatch):
+    """A short text with one anchor at several places, all of which reach the whole text, is no repeat of itself."""
+    monkeypatch.setattr(suffix, "GROUP", 3)
+    rng = random.Random(11)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    least = lambda word: int(rolling.windows(rolling.BYTES[np.frombuffer((word * 20).encode(), np.uint8)], suffix.K).min())
+    word = min((letters(3) + " " for _ in range(5000)), key=least)
+    texts = [letters(286) + word * 30 + letters(160) for _ in range(12)]
+    texts += [texts[3], texts[4][:500], letters(90) + texts[5][20:480]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = rows_of(suffix.deduplicated(docs), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    want = brute_bytes([t.encode() for t in texts], 400)
+    assert sorted(got) == want and sum(w[1] > 0 for w in want) == 6
+
+
 def test_op6_sql(folder):
     """The SQL against the same brute force, over the table with the awkward cases."""
     duckdb = pytest.importorskip("duckdb")
